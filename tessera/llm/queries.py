@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, media, packing, quality, simhash, token_counts, toxicity
+from . import bpe, html, licenses, media, packing, quality, simhash, substrings, token_counts, toxicity
 from .common import table
 
 #: The tokenizers' files, a parameter of the operators.
@@ -62,6 +62,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files, license_file=F.split("text", "\n")[0].rlike(licenses.MENTIONS))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), substrings.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}
