@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,13 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back; cuts its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, on one machine, is a
-    temporary folder used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, on one machine, a temporary folder."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,9 +32,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back; cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for wide rows; cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def kept_rows(df: DataFrame, keeps: Callable[[Iterator[str]], Iterator[bool]], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text ``keeps`` says to keep; it gets a partition's texts, null as empty."""
+    at = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, at):
+            yield piece.filter(pa.array(keeps(text or "" for text in piece.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns only, so that columns with clashing names can't disturb; a null text counts as empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, keyed_text
+from .common import arrow_rows, kept_rows, keyed_text
 
 #: Texts that costs and selectivities are measured on, about.
 SAMPLE_ROWS = 2_000
@@ -137,6 +137,27 @@ def first_rejection(view: View, rules: Sequence[Rule]) -> str | None:
     return next((rule.name for rule in rules if rule.rejects(view)), None)
 
 
+def verdict(view: View, order: Sequence[Rule], min_words: int, most_repeated: int) -> str | None:
+    """The rule that rejects a text, the base first; None if none does."""
+    if base_failed(view, min_words, most_repeated):
+        return "base"
+    return first_rejection(view, order)
+
+
+def base_failed(view: View, min_words: int, most_repeated: int) -> bool:
+    return view.n_words < min_words or 100 * view.n_repeat_words > most_repeated * view.n_words
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, *, min_words: int = 50, most_repeated: int = 50, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``judge`` keeps."""
+    order = ordered(measured(docs, rules, sample_rows, id_col=id_col, text_col=text_col), rules)
+
+    def keeps(texts: Iterator[str]) -> Iterator[bool]:
+        return (verdict(View(text), order, min_words, most_repeated) is None for text in texts)
+
+    return kept_rows(docs, keeps, text_col)
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, *, min_words: int = 50, most_repeated: int = 50, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule) of each text.
 
@@ -150,9 +171,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, *, min_words: int = 50
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             v = View(text)
-            failed = v.n_words < min_words or 100 * v.n_repeat_words > most_repeated * v.n_words
-            rule = "base" if failed else first_rejection(v, order)
-            yield doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, failed, rule is None, rule
+            rule = verdict(v, order, min_words, most_repeated)
+            yield doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, rule == "base", rule is None, rule
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rule string"
     return arrow_rows(keyed_text(docs, id_col, text_col), schema, run)

@@ -201,3 +201,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.select("fp", "component").join(leasts, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest doc_id (any one, if that id repeats)."""
+    first = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col, meeting=meeting).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col])

@@ -19,14 +19,14 @@ text; its strings are compared one by one instead, by 128-bit hashes, each once
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keyed_text, record_batch
+from .common import arrow_schema, record_batch
 from .suffix_array import suffix_array, suffix_arrays
 
 WINDOW = 50
@@ -91,7 +91,7 @@ class Block:
     """The texts of a block as one buffer, with its anchors."""
 
     def __init__(self, ids: list[int], texts: list[bytes], window: int) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.window, self.seed = window, window // 2 - 1
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.texts = [texts[i] for i in order]
@@ -438,17 +438,17 @@ def digest(doc_id: int, data: bytes, gone: np.ndarray) -> tuple:
     return doc_id, len(data), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, finish: Finish = kept_text, columns: str = "doc_id long, text string", *, window: int = WINDOW, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, finish: Finish = kept_text, columns: str = "doc_id long, text string", *, carry: Sequence[str] = (), window: int = WINDOW, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``finish(doc_id, utf-8 bytes, removed)`` gives for every document, by default its remaining text.
 
-    Strings are judged on the input, not on what is left, and never run over a document's end. Null and empty texts
+    The values of the columns ``carry`` follow in each row. Strings are judged on the input, not on what is left, and never run over a document's end. Null and empty texts
     and texts shorter than ``window`` lose nothing. Rows that share a doc_id don't remove one another's bytes. An
     empty table gives no rows; other columns are left aside. ``window`` is 34 to 128.
     """
     if not 34 <= window <= 128:
         raise ValueError("window must be 34 to 128")
     spark = docs.sparkSession
-    texts = keyed_text(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(max(1, -(-total // BLOCK_BYTES)))
     buckets = int(max(8, -(-total // 2 // BUCKET_BYTES)))
@@ -491,6 +491,7 @@ def remove_repeats(docs: DataFrame, finish: Finish = kept_text, columns: str = "
             return as_table([], final)
         block = job.block(left)
         gone = job.covered(block, answers_of(right))
-        return as_table([finish(int(i), t, gone[a:b]) for i, t, a, b in zip(block.ids, block.texts, block.starts.tolist(), block.ends.tolist(), strict=True)], final)
+        carried = list(zip(*(left.column(f"carried_{i}").to_pylist() for i in range(len(carry))), strict=True)) or [()] * len(block.order)
+        return as_table([(*finish(int(i), t, gone[a:b]), *carried[n]) for i, t, a, b, n in zip(block.ids, block.texts, block.starts.tolist(), block.ends.tolist(), block.order, strict=True)], final)
 
     return dealt.groupBy("block").cogroup(known.unionByName(strings).groupBy("block")).applyInArrow(last, columns)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, keyed_text
+from .common import arrow_rows, kept_rows, keyed_text
 
 #: Labelled rows that models are fitted on at most; the rows with the smallest hashes of their ids are taken.
 TRAIN_ROWS = 8_000
@@ -187,3 +187,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("l
             yield doc_id, *out, bool(text.strip()) and out[-1] >= threshold
 
     return arrow_rows(keyed_text(docs, id_col, text_col), f"doc_id long, {', '.join(f'p_{c} double' for c in categories)}, {categories[-1]} boolean", run)
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), *, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``toxicity`` does not call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, train_rows=train_rows, id_col=id_col, text_col=text_col))
+    scorers: list[Scorer] = []
+
+    def keeps(texts: Iterator[str]) -> Iterator[bool]:
+        if not scorers:
+            scorers.append(Scorer(shared.value))
+        return (not text.strip() or scorers[0].score(text)[-1] < threshold for text in texts)
+
+    return kept_rows(docs, keeps, text_col)
