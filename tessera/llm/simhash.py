@@ -124,7 +124,8 @@ def full_ball(fps: DataFrame) -> DataFrame:
     """(block = -1, variant, fp): every value within two bits of fp."""
     turns = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
     table = F.array(*(F.lit(signed(t)).cast("long") for t in turns))
-    return fps.select(F.lit(-1).cast("byte").alias("block"), F.col("fp").bitwiseXOR(F.explode(table)).alias("variant"), "fp")
+    each = fps.select("fp", F.explode(table).alias("turn"))
+    return each.select(F.lit(-1).cast("byte").alias("block"), F.col("fp").bitwiseXOR(F.col("turn")).alias("variant"), "fp")
 
 
 def met(pairs: DataFrame, meeting: int) -> DataFrame:
