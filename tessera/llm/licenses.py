@@ -85,22 +85,23 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", license_file: Column | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", license_file: Column | None = None, grants: Column | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """(doc_id, path, license, cosine, origin, from_dir) of every file.
 
     ``origin`` is 'own' for a licence found in the file, 'inherited' for that of the nearest directory at or above
     the file's that has a licence file with a match (of several, the one with the highest cosine, then the first
-    by path), else 'none'. ``license_file`` says which files are licence files; by default their names do. A null
+    by path), else 'none'. ``license_file`` says which files are licence files; by default their names do.
+    ``grants`` says which files' matches hold for their directory; by default those of licence files. A null
     text is empty, a null path is the top; paths that occur twice are scanned twice. An empty table gives no rows;
     other columns are left aside. Directories are resolved once each, so a full directory is no hot key.
     """
     named = F.regexp_extract(F.coalesce(F.col(path_col), F.lit("")), r"[^/]*$", 0).rlike(LICENSE_FILE) if license_file is None else license_file
-    own = files.select(F.col(id_col).alias("file"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(named, F.lit(False)).alias("whole"))
+    own = files.select(F.col(id_col).alias("file"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(named, F.lit(False)).alias("whole"), F.coalesce(named if grants is None else grants, F.lit(False)).alias("grants"))
     found = matches(units(own), files.sparkSession, templates, least)
-    narrow = own.select("file", "path", "whole", parent(F.col("path")).alias("dir"))
+    narrow = own.select("file", "path", "grants", parent(F.col("path")).alias("dir"))
     known = narrow.join(found, "file", "left")
     licensed = (
-        known.where(F.col("whole") & F.col("license").isNotNull())
+        known.where(F.col("grants") & F.col("license").isNotNull())
         .groupBy("dir")
         .agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.col("cosine"), F.col("path"), F.col("license"))).alias("license"))
     )

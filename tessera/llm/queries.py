@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, media, packing, quality, simhash, substrings, token_counts, toxicity
+from . import bpe, html, licenses, media, oracles, packing, quality, simhash, substrings, token_counts, toxicity
 from .common import table
 
 #: The tokenizers' files, a parameter of the operators.
@@ -55,11 +55,14 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/language/thousand/id.txt; one that begins by speaking of licences is a licence file."""
+    """Documents as files source/language/thousand/id.txt; those that begin by speaking of licences count as licence files.
+
+    None has the name of one, so every document's own licence holds for its directory.
+    """
     documents = table(spark, sf_dir, "documents")
     thousand = F.floor(F.col("doc_id") / 1000).cast("string")
     files = documents.select("doc_id", F.concat_ws("/", "source", "lang", thousand, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
-    return licenses.scan(files, license_file=F.split("text", "\n")[0].rlike(licenses.MENTIONS))
+    return licenses.scan(files, license_file=F.split("text", "\n")[0].rlike(licenses.MENTIONS), grants=F.lit(True))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": oracles.QUALITY,
+    "op9_license_scan": oracles.licenses_sql(),
+    "op10_suffix_array_dedup": oracles.REPEATS,
+}
