@@ -23,6 +23,8 @@ TRAIN_ROWS = 8_000
 #: Words and word beginnings are hashed to so many numbers, of which a model uses the most telling.
 HASH_BITS = 20
 USED_FEATURES = 4_096
+#: The least chi-squared of a used feature: words that fall so unevenly by chance are one in ten thousand.
+LEAST_CHI = 15.0
 FOLDS = 3
 WORD = re.compile(r"\w+")
 #: Words whose features a worker keeps.
@@ -55,20 +57,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def telling(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The features with the highest chi-squared against the labels, of those in three rows or more."""
+    """The features with the highest chi-squared against the labels, of those in three rows or more and above LEAST_CHI."""
     size = 1 << HASH_BITS
     df = np.bincount(ids, minlength=size)
     hit = np.bincount(ids, weights=y[rows].astype(float), minlength=size)
-    n, p = len(y), max(y.mean(), 1e-9)
+    n, p = len(y), max(y.mean() if len(y) else 0.0, 1e-9)
     expected = df * p
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - p) * (1 - df / max(1, n)), 1e-9)
     chi[df < 3] = 0
     best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 0])
+    return np.sort(best[chi[best] >= LEAST_CHI])
 
 
-def fit(rows: np.ndarray, ids: np.ndarray, chain: np.ndarray, y: np.ndarray, rounds: int = 250, ridge: float = 2e-5) -> Linear:
-    """Full-batch Adam on the mean log loss, rare class and common class weighing alike."""
+def fit(rows: np.ndarray, ids: np.ndarray, chain: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 3e-4) -> Linear:
+    """Full-batch Adam on the mean log loss with a ridge, rare class and common class weighing alike."""
     n = len(y)
     used = telling(rows, ids, y, USED_FEATURES)
     at = np.searchsorted(used, ids)
@@ -82,9 +84,9 @@ def fit(rows: np.ndarray, ids: np.ndarray, chain: np.ndarray, y: np.ndarray, rou
     for step in range(1, rounds + 1):
         z = np.bincount(r, weights=w[c], minlength=n) + chain @ w[len(used) : -1] + w[-1]
         d = (sigmoid(z) - y) * weigh
-        g = np.concatenate([np.bincount(c, weights=d[r], minlength=len(used)), chain.T @ d, [d.sum()]]) + ridge * w
+        g = np.concatenate([np.bincount(c, weights=d[r], minlength=len(used)), chain.T @ d, [d.sum()]]) + ridge * np.append(w[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Linear(used, w[: len(used)], w[len(used) : -1], float(w[-1]))
 
 
@@ -97,29 +99,51 @@ def predict(model: Linear, rows: np.ndarray, ids: np.ndarray, chain: np.ndarray,
     return sigmoid(z + chain @ model.chain)
 
 
-def fit_chain(features: Sequence[Sequence[int]], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+def best_threshold(p: np.ndarray, y: np.ndarray, low: float = 0.2, high: float = 0.5) -> float:
+    """Where out-of-fold probabilities part best, a false alarm counting three times its share; in the middle of a gap.
+
+    ``high`` where either class is missing.
+    """
+    if not (y > 0).any() or not (y <= 0).any():
+        return high
+    marks = np.unique(np.concatenate([p[(p > low) & (p < high)], [low, high]]))
+    worth = np.array([(p[y > 0] >= t).mean() - 3 * (p[y <= 0] >= t).mean() for t in marks])
+    best = marks[worth >= worth.max() - 1e-12]
+    below = p[p < best.max()]
+    floor = max(low, float(below.max())) if len(below) else low
+    return float((best.max() + floor) / 2) if floor <= best.max() else float(best.max())
+
+
+@dataclass
+class Chain:
+    """The models, in order, and from which probability on the last category holds."""
+
+    models: list[Linear]
+    threshold: float
+
+
+def fit_chain(features: Sequence[Sequence[int]], labels: np.ndarray, folds: int = FOLDS) -> Chain:
     """One model per column of ``labels``, each fed with out-of-fold predictions of those before it."""
     n = len(features)
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    ids = np.concatenate([np.asarray(f, np.int64) for f in features]) if n else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
+    ids = np.concatenate([np.asarray(f, np.int32) for f in features]) if n else np.zeros(0, np.int32)
     fold = np.arange(n) % folds
     chain = np.zeros((n, 0))
     models = []
     for column in range(labels.shape[1]):
         y = labels[:, column].astype(float)
         models.append(fit(rows, ids, chain, y))
-        if column + 1 < labels.shape[1]:
-            out = np.zeros(n)
-            for k in range(folds):
-                train, test = fold != k, fold == k
-                place = np.cumsum(train) - 1
-                inside = train[rows]
-                model = fit(place[rows[inside]], ids[inside], chain[train], y[train])
-                where = np.cumsum(test) - 1
-                outside = test[rows]
-                out[test] = predict(model, where[rows[outside]], ids[outside], chain[test], int(test.sum()))
-            chain = np.column_stack([chain, out])
-    return models
+        out = np.zeros(n)
+        for k in range(folds):
+            train, test = fold != k, fold == k
+            place = np.cumsum(train) - 1
+            inside = train[rows]
+            model = fit(place[rows[inside]], ids[inside], chain[train], y[train])
+            where = np.cumsum(test) - 1
+            outside = test[rows]
+            out[test] = predict(model, where[rows[outside]], ids[outside], chain[test], int(test.sum()))
+        chain = np.column_stack([chain, out])
+    return Chain(models, best_threshold(chain[:, -1], labels[:, -1]))
 
 
 class Scorer:
@@ -150,7 +174,7 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """The chain for 0/1 columns of ``labels``, fitted on ``train_rows`` labelled rows at most.
 
     Rows with a null label are left out. Without labelled rows every probability is a half.
@@ -171,32 +195,36 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, trai
     return fit_chain(features, np.array([[r[c] for c in columns] for r in found], dtype=float).reshape(len(found), len(columns)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), *, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), *, threshold: float | None = None, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category>..., <last category> boolean) of every whole text, by a chain fitted on ``labels``.
 
-    Null and empty texts have no words and get the models' constants, which are not toxic where labels are not.
+    The last category holds from ``threshold`` on; by default that is where out-of-fold predictions part best. Null
+    and empty texts have no words: they get the models' constants and are never toxic.
     Repeated rows give repeated results, an empty table gives none, other columns are left aside.
     """
-    models = train(docs, labels, categories, train_rows=train_rows, id_col=id_col, text_col=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    chain = train(docs, labels, categories, train_rows=train_rows, id_col=id_col, text_col=text_col)
+    least = chain.threshold if threshold is None else threshold
+    shared = docs.sparkSession.sparkContext.broadcast(chain.models)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         scorer = Scorer(shared.value)
         for doc_id, text in rows:
             out = scorer.score(text)
-            yield doc_id, *out, bool(text.strip()) and out[-1] >= threshold
+            yield doc_id, *out, bool(text.strip()) and out[-1] >= least
 
     return arrow_rows(keyed_text(docs, id_col, text_col), f"doc_id long, {', '.join(f'p_{c} double' for c in categories)}, {categories[-1]} boolean", run)
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), *, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_civil(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), *, threshold: float | None = None, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that ``toxicity`` does not call toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, train_rows=train_rows, id_col=id_col, text_col=text_col))
+    chain = train(docs, labels, categories, train_rows=train_rows, id_col=id_col, text_col=text_col)
+    least = chain.threshold if threshold is None else threshold
+    shared = docs.sparkSession.sparkContext.broadcast(chain.models)
     scorers: list[Scorer] = []
 
     def keeps(texts: Iterator[str]) -> Iterator[bool]:
         if not scorers:
             scorers.append(Scorer(shared.value))
-        return (not text.strip() or scorers[0].score(text)[-1] < threshold for text in texts)
+        return (not text.strip() or scorers[0].score(text)[-1] < least for text in texts)
 
     return kept_rows(docs, keeps, text_col)

@@ -83,9 +83,9 @@ def test_toxicity_on_held_out_texts(spark):
 
 def test_later_models_see_earlier_probabilities():
     rng = np.random.default_rng(1)
-    features = [[int(x)] for x in rng.integers(0, 40, 400)]
+    features = [[int(x)] for x in rng.integers(0, 40, 2000)]
     first = np.array([f[0] < 20 for f in features], float)
-    models = toxicity.fit_chain(features, np.column_stack([first, first]))
+    models = toxicity.fit_chain(features, np.column_stack([first, first])).models
     assert len(models[0].chain) == 0 and models[1].chain[0] > 0
 
 
@@ -188,3 +188,10 @@ def test_licenses(spark):
         6: ("MIT", "inherited", ""), 7: ("GPL-3.0", "inherited", "lib"), 8: ("GPL-3.0", "inherited", "lib"), 9: ("MIT", "own", None),
     }
     assert licenses.scan(table.limit(0)).count() == 0
+
+
+def test_thresholds():
+    p, y = np.array([0.05, 0.1, 0.2, 0.4, 0.9]), np.array([0, 0, 0, 1, 1])
+    assert 0.2 < toxicity.best_threshold(p, y) <= 0.4
+    assert toxicity.best_threshold(p, np.zeros(5)) == 0.5
+    assert toxicity.best_threshold(np.array([0.01, 0.02, 0.95, 0.97]), np.array([0, 0, 1, 1])) <= 0.5
