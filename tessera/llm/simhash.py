@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     Documents with one fingerprint are one node, so copies are never compared. component_id is the smallest doc_id
     that links of RADIUS bits or less reach, the document's own included. Null, empty and wordless texts have
     fingerprint zero and are linked like any other. Repeated rows give repeated results, an empty table gives none,
-    other columns are left aside; nothing but counts comes to the driver.
+    other columns are left aside; nothing but counts comes to the driver. A null doc_id is never the smallest, and
+    is the component_id only where no other is reachable.
     """
     marked = checkpointed(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -205,6 +206,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest doc_id (any one, if that id repeats)."""
-    first = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col, meeting=meeting).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    """One row, with all its columns, of each component: that of the smallest doc_id (any one, if that id repeats).
+
+    Rows without a doc_id count as one document, which stays only if no document with an id is near it.
+    """
+    found = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col, meeting=meeting)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates([id_col])

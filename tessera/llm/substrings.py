@@ -39,6 +39,8 @@ LOCAL_CROWD = 64
 SLICE = 1 << 20
 #: Texts are sorted in step up to this length, longer ones by themselves.
 IN_STEP = 1_600
+#: Stands for a null id, so that such rows come after all others.
+NO_ID = (1 << 63) - 1
 CELLS = 1 << 20
 
 SEEDS, CONTEXTS, STRINGS, MASKS, SINGLES, SINGLE_MARKS = range(6)
@@ -424,15 +426,15 @@ def mark(groups: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, docs: n
     np.bitwise_or.at(masks, context[hit], U8(1) << shift[hit].astype(np.uint64))
 
 
-Finish = Callable[[int, bytes, np.ndarray], tuple]
+Finish = Callable[[int | None, bytes, np.ndarray], tuple]
 
 
-def kept_text(doc_id: int, data: bytes, gone: np.ndarray) -> tuple:
+def kept_text(doc_id: int | None, data: bytes, gone: np.ndarray) -> tuple:
     """(doc_id, text): what is left, without bytes that a cut through a letter leaves."""
     return doc_id, np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", errors="ignore")
 
 
-def digest(doc_id: int, data: bytes, gone: np.ndarray) -> tuple:
+def digest(doc_id: int | None, data: bytes, gone: np.ndarray) -> tuple:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
     return doc_id, len(data), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
@@ -442,13 +444,13 @@ def remove_repeats(docs: DataFrame, finish: Finish = kept_text, columns: str = "
     """What ``finish(doc_id, utf-8 bytes, removed)`` gives for every document, by default its remaining text.
 
     The values of the columns ``carry`` follow in each row. Strings are judged on the input, not on what is left, and never run over a document's end. Null and empty texts
-    and texts shorter than ``window`` lose nothing. Rows that share a doc_id don't remove one another's bytes. An
-    empty table gives no rows; other columns are left aside. ``window`` is 34 to 128.
+    and texts shorter than ``window`` lose nothing. Rows that share a doc_id don't remove one another's bytes; rows
+    without one count as one document after all others. An empty table gives no rows; other columns are left aside. ``window`` is 34 to 128.
     """
     if not 34 <= window <= 128:
         raise ValueError("window must be 34 to 128")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(max(1, -(-total // BLOCK_BYTES)))
     buckets = int(max(8, -(-total // 2 // BUCKET_BYTES)))
@@ -492,6 +494,6 @@ def remove_repeats(docs: DataFrame, finish: Finish = kept_text, columns: str = "
         block = job.block(left)
         gone = job.covered(block, answers_of(right))
         carried = list(zip(*(left.column(f"carried_{i}").to_pylist() for i in range(len(carry))), strict=True)) or [()] * len(block.order)
-        return as_table([(*finish(int(i), t, gone[a:b]), *carried[n]) for i, t, a, b, n in zip(block.ids, block.texts, block.starts.tolist(), block.ends.tolist(), block.order, strict=True)], final)
+        return as_table([(*finish(None if i == NO_ID else int(i), t, gone[a:b]), *carried[n]) for i, t, a, b, n in zip(block.ids, block.texts, block.starts.tolist(), block.ends.tolist(), block.order, strict=True)], final)
 
     return dealt.groupBy("block").cogroup(known.unionByName(strings).groupBy("block")).applyInArrow(last, columns)

@@ -150,6 +150,16 @@ def test_removal_of_repeated_strings(spark):
     assert substrings.remove_repeats(docs.limit(0), substrings.digest, columns).count() == 0
 
 
+def test_rows_without_ids(spark):
+    text = "the one and only passage of this test that two rows share, and more than fifty bytes of it"
+    docs = spark.createDataFrame([(None, text), (3, text), (None, "a b c"), (None, None)], "doc_id long, text string")
+    got = sorted(substrings.remove_repeats(docs, substrings.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect(), key=lambda r: -r["n_bytes"])
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in got) == sorted([(3, 0), (-1, len(text)), (-1, 0), (-1, 0)])
+    ids = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(docs).collect())
+    assert ids == [(-1, -1), (-1, -1), (-1, 3), (3, 3)]
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {3, None}
+
+
 def test_blocks_find_what_brute_force_finds():
     rng = random.Random(10)
     for trial in range(6):
