@@ -23,8 +23,8 @@ def g(table: str) -> str:
 
 CATALOGUE: dict[str, tuple[str, str]] = {
     "flagship": (
-        "SELECT ?rn (COUNT(*) AS ?n) (SUM(?price) AS ?total) WHERE { ?o ex:customer ?c ; ex:totalPrice ?price . ?c ex:nation ?n0 . ?n0 ex:region ?r . ?r ex:name ?rn } GROUP BY ?rn",
-        "SELECT r_name AS rn, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+        "SELECT ?rn (COUNT(*) AS ?n) (ROUND(SUM(?price)) AS ?total) WHERE { ?o ex:customer ?c ; ex:totalPrice ?price . ?c ex:nation ?n0 . ?n0 ex:region ?r . ?r ex:name ?rn } GROUP BY ?rn",
+        "SELECT r_name AS rn, count(*) AS n, floor(sum(o_totalprice) + 0.5) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     ),
     "bgp_single": ("SELECT ?n ?name WHERE { ?n a ex:Nation ; ex:name ?name }", f"SELECT concat({N}, n_nationkey) AS n, n_name AS name FROM nation"),
     "bgp_chain": (
@@ -113,7 +113,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "agg_group_concat": ("SELECT ?r (GROUP_CONCAT(?x ; SEPARATOR=\", \") AS ?names) WHERE { ?n ex:region ?r ; ex:name ?x } GROUP BY ?r", f"SELECT concat({R}, n_regionkey) AS r, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
     "agg_min_max_sample": ("SELECT ?t (MIN(?p) AS ?least) (MAX(?p) AS ?most) (SAMPLE(?b) AS ?brand) WHERE { ?x ex:partType ?t ; ex:retailPrice ?p ; ex:brand ?b } GROUP BY ?t", "SELECT p_type AS t, min(p_retailprice) AS least, max(p_retailprice) AS most, min(p_brand) AS brand FROM part GROUP BY 1"),
     "agg_empty": ("SELECT (COUNT(*) AS ?n) (SUM(?s) AS ?t) WHERE { ?p ex:size ?s FILTER(?s < 0) }", "SELECT count(*) AS n, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS t FROM part WHERE p_size < 0"),
-    "agg_expression": ("SELECT ?st (SUM(?t) / COUNT(*) AS ?mean) WHERE { ?o ex:status ?st ; ex:totalPrice ?t } GROUP BY ?st ORDER BY DESC(COUNT(*))", "SELECT o_orderstatus AS st, sum(o_totalprice) / count(*) AS mean FROM orders GROUP BY 1"),
+    "agg_expression": ("SELECT ?st (ROUND(100 * SUM(?t) / COUNT(*)) / 100 AS ?mean) WHERE { ?o ex:status ?st ; ex:totalPrice ?t } GROUP BY ?st ORDER BY DESC(COUNT(*))", "SELECT o_orderstatus AS st, floor(100 * sum(o_totalprice) / count(*) + 0.5) / 100 AS mean FROM orders GROUP BY 1"),
     "group_by_expression": ("SELECT ?y (COUNT(*) AS ?n) WHERE { ?o ex:date ?d } GROUP BY (YEAR(?d) AS ?y)", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1"),
     "builtin_string": (
         "SELECT ?s (STRLEN(?n) AS ?l) (SUBSTR(?n, 3, 4) AS ?sub) (STRBEFORE(?n, \"#\") AS ?before) (STRAFTER(?n, \"#\") AS ?after) (CONCAT(LCASE(?n), \"-x\") AS ?cat) (REPLACE(?n, \"[0-9]\", \"d\") AS ?rep) (STRENDS(?n, \"7\") AS ?ends) (ENCODE_FOR_URI(?n) AS ?enc) WHERE { ?s a ex:Supplier ; ex:name ?n }",
