@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import closure, shacl, summary
 from ..operators.inference import infer
+from ..operators.lineage import put, scratch
 from ..plans.algebra import RDFS, TYPE, XSD
 from ..sources import catalog
 from ..sources.quads import SCHEMA
@@ -168,30 +168,23 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import corpus
     from .texts import CONFIG, nation_pages
 
-    folder = tempfile.mkdtemp()
+    folder = scratch(spark, "stream")
     rows = nation_pages(spark, sf_dir).collect()
 
-    def put(name: str, text: str) -> None:
-        from pathlib import Path
-
-        path = Path(folder, "in", name)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text)
-
     def rows_of(batch: DataFrame) -> DataFrame:
         return corpus.flat_map(batch.select("path", "suffix", "text"), "path string, s string, p string, o string", lambda p, s, t: [(p, q[1], q[3], q[4]) for q in corpus.file_quads(p, s, t, "g", CONFIG)[0]])
 
     for r in rows[:-1]:
-        put(r["path"], r["text"])
+        put(spark, f"{folder}/in/{r['path']}", r["text"])
     refresh.refresh(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", rows_of)
-    put(rows[-1]["path"], rows[-1]["text"])
+    put(spark, f"{folder}/in/{rows[-1]['path']}", rows[-1]["text"])
     refresh.refresh(spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", rows_of)
     return refresh.current(spark, f"{folder}/table").where(F.col("p") == "https://schema.org/name").select("path", "o")
 
 
 def disk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quad store built once and then read."""
-    folder = tempfile.mkdtemp()
+    folder = scratch(spark, "cache")
     files = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("path"), F.lit(1).cast("long").alias("size"), F.lit("2020-01-01").cast("timestamp").alias("mtime"))
     first = catalog.cached(files, folder, "v1", lambda: nation_facts(spark, sf_dir))
     again = catalog.cached(files, folder, "v1", lambda: first.limit(0))
