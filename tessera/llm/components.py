@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping, on the cluster alone."""
+"""Connected components of an edge table, by hooking, pointer jumping and contraction, on the cluster alone."""
 
 from __future__ import annotations
 
@@ -7,27 +7,45 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Rounds before giving up; labels at least halve the distance to their root in each.
+#: Rounds before giving up; each at least halves the nodes that still have edges.
 ROUNDS = 60
 
 
+def jumped(hooks: DataFrame) -> DataFrame:
+    """(node, label) with every label replaced by the end of its chain of labels."""
+    for _ in range(ROUNDS):
+        up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        step = checkpointed(hooks.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")))
+        hooks = step.select("node", "label")
+        if step.where("moved").isEmpty():
+            return hooks
+    raise RuntimeError(f"labels did not settle in {ROUNDS} rounds")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (a, b) of longs; a component is its smallest node.
 
-    Each round lets every node take the least label among its neighbours' labels, and then its label's label.
-    Labels are written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm.
+    Each round hooks every node to its least smaller neighbour, follows the hooks to their ends, and keeps the edges
+    between different ends. Chains settle in one round, so edges are joined about once, however large a group is.
+    What is found is written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where(F.col("a") != F.col("b")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    left = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found: DataFrame | None = None
     for _ in range(ROUNDS):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
-        roots = labels.select(F.col("node").alias("of"), F.col("label").alias("root"))
-        # The label's own label: never above it, as a label is a node of the same component.
-        jumped = lower.join(roots, lower["low"] == roots["of"]).select("node", F.least("low", "root").alias("new"), (F.least("low", "root") != F.col("label")).alias("moved"))
-        moved = checkpointed(jumped)
-        changed = moved.where("moved").limit(1).count()
-        labels = moved.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+        if left.isEmpty():
+            break
+        hooks = jumped(checkpointed(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))))
+        of_a = hooks.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        of_b = hooks.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        ends = left.join(of_a, "a").join(of_b, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where(F.col("x") != F.col("y"))
+        left = checkpointed(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if found is not None:
+            up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            hooks = found.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
+        found = checkpointed(hooks)
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+    if found is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = found.select(F.col("label").alias("node"), "label").distinct()
+    return found.unionByName(roots).withColumnRenamed("label", "component")
