@@ -28,7 +28,7 @@ LEAST_CHI = 15.0
 FOLDS = 3
 WORD = re.compile(r"\w+")
 #: Words whose features a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def features_of(word: str) -> tuple[int, ...]:
