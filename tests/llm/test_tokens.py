@@ -44,6 +44,19 @@ def test_tree_concatenation_equals_the_library():
     assert tree.joins > 1000 and tree.grown > 10
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_chunks_have_the_library_s_ids(path):
+    from tessera.llm.tokens import Encoder
+
+    t, e = library(path), Encoder(path)
+    assert e.one is not None
+    rng = random.Random(6)
+    syllables = ["th", "er", "É", "ß", "İ", "ΑΣ", "n\u0303", "'s", "12", "#", "$%", "eau", "Å", "\u00a0", "\U0001f600", "I'LL", "ſ", "ñ", "one", "Tion", "<|endoftext|>"]
+    texts = [x or "" for x in ODD] + ["".join(rng.choice(syllables) if rng.random() < 0.85 else rng.choice(" \n\t") for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_roundtrip_of_spread_texts(spark):
     t = library(BYTE)
     rows = {r["doc_id"]: r for r in bpe.roundtrip(frame(spark, ODD), BYTE, spread_chars=1000).collect()}
