@@ -103,6 +103,11 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+def from_words(rule: Rule, least: int) -> Rule:
+    """The rule for texts of ``least`` words or more; it rejects no shorter one."""
+    return Rule(rule.name, lambda v: v.n_words >= least and rule.rejects(v))
+
+
 def measured(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, *, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, float, float]]:
     """(name, seconds a text, share rejected) of each rule on a sample of about ``sample_rows`` texts."""
     texts = keyed_text(docs, id_col, text_col)
