@@ -160,7 +160,7 @@ def suggest_links(files: DataFrame, names: DataFrame, most: int = 200_000) -> Da
     """(source_route, alias, target_route, line, column) of mentions of other pages that are no links yet.
 
     Pages are scanned with one pattern of all aliases, which has to fit in memory; with more than ``most`` aliases,
-    candidate aliases of each page are found by a join on their first word instead.
+    candidate aliases of each page are found by a join on the first word in them instead, those without any by search.
     """
     schema = "source_route string, alias string, target_route string, line int, column int"
 
@@ -172,9 +172,10 @@ def suggest_links(files: DataFrame, names: DataFrame, most: int = 200_000) -> Da
     if names.limit(most + 1).count() <= most:
         shared = files.sparkSession.sparkContext.broadcast({r["alias"]: r["route"] for r in names.collect()})
         return flat_map(pages.select("path", "text"), schema, lambda p, t: rows_for(shared.value, p, t))
-    word = F.regexp_extract("alias", r"^[\p{L}\p{N}_]+", 0)
+    keyed = names.select("alias", "route", F.regexp_extract("alias", r"[\p{L}\p{N}_]+", 0).alias("w"))
     words = pages.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
-    candidates = words.join(names.withColumn("w", word), "w").groupBy("path").agg(F.collect_list(F.struct("alias", "route")).alias("table"))
+    wordless = pages.join(keyed.where("w = ''"), F.expr("contains(text, alias)")).select("path", "alias", "route")
+    candidates = words.join(keyed.where("w <> ''"), "w").select("path", "alias", "route").unionByName(wordless).groupBy("path").agg(F.collect_list(F.struct("alias", "route")).alias("table"))
     joined = pages.join(candidates, "path").select("path", "text", "table")
     return flat_map(joined, schema, lambda p, t, table: rows_for({x["alias"]: x["route"] for x in table}, p, t))
 
