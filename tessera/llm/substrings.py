@@ -203,13 +203,13 @@ class Known:
         self.docs = block.doc(place)
 
     def packed(self) -> bytes:
-        """Ten bytes an anchor."""
-        return raw(self.first, "<u4") + raw(self.entry, "<u4") + raw(self.last - self.first, "u1") + raw(self.place - self.first, "u1")
+        """Ten bytes an anchor, half of them zeros."""
+        return planes(np.diff(self.first, prepend=0), "<u4") + planes(self.entry, "<u4") + raw(self.last - self.first, "u1") + raw(self.place - self.first, "u1")
 
     @classmethod
     def unpacked(cls, block: Block, data: bytes) -> Known:
         n = len(data) // 10
-        first, entry = np.frombuffer(data, "<u4", 2 * n).astype(np.int64).reshape(2, n)
+        first, entry = np.cumsum(unplaned(data[: 4 * n], "<u4"), dtype=np.int64), unplaned(data[4 * n : 8 * n], "<u4").astype(np.int64)
         span, place = np.frombuffer(data, "u1", offset=8 * n).astype(np.int64).reshape(2, n)
         return cls(block, first + place, first, first + span, entry)
 
@@ -226,6 +226,16 @@ def raw(x: np.ndarray, kind: str = "<u8") -> bytes:
     return np.ascontiguousarray(x).astype(kind).tobytes()
 
 
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as all their first bytes, then all their second ones, and so on: small numbers' zeros compress in the shuffle."""
+    numbers = np.ascontiguousarray(x).astype(kind)
+    return numbers.view("u1").reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unplaned(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 class Job:
     """The stages' functions for one number of buckets; everything a block sends is rows (bucket, block, kind, data...)."""
 
@@ -304,8 +314,9 @@ class Job:
     def send_seeds(self, block: Block, number: int, _: dict) -> Iterator[tuple]:
         seeds = np.unique(block.anchors()[1])
         for bucket, part in self.dealt(seeds):
-            # Four bytes tell seeds of a bucket apart well enough: a wrong yes only costs time.
-            yield bucket, number, SEEDS, raw(seeds[part] & U8(0xFFFFFFFF), "<u4"), None, None, None
+            # How far into its bucket a seed is, in four bytes, tells them apart well enough: a wrong yes only costs time.
+            within = ((seeds[part] >> U8(24)) * U8(self.buckets) >> U8(8)) & U8(0xFFFFFFFF)
+            yield bucket, number, SEEDS, planes(np.diff(within.astype(np.int64), prepend=0), "<u4"), None, None, None
 
     def send_contexts(self, block: Block, number: int, answers: dict) -> Iterator[tuple]:
         known, hashes, contexts = self.known(block, answers.get(SEEDS, {}))
@@ -320,7 +331,7 @@ class Job:
         doc = np.concatenate([ids[rest], np.zeros(len(marks), np.int64)])
         marked = np.concatenate([np.zeros(rest.sum(), "u1"), np.ones(len(marks), "u1")])
         for bucket, part in self.dealt(keys):
-            yield bucket, number, CONTEXTS, raw(keys[part]), raw(context[part]), raw(doc[part], "<i8"), np.packbits(marked[part]).tobytes() if marked[part].any() else None
+            yield bucket, number, CONTEXTS, raw(keys[part]), raw(context[part]), planes(doc[part], "<i8"), np.packbits(marked[part]).tobytes() if marked[part].any() else None
 
     def send_strings(self, block: Block, number: int, answers: dict) -> Iterator[tuple]:
         known, hashes, state = self.states(block, answers)
@@ -329,16 +340,16 @@ class Job:
             anchors = known.heads[sort[part]]
             first, end, place = known.first[anchors], known.last[anchors] + self.window, known.place[anchors]
             shape = np.column_stack([end - first, place - first])
-            yield bucket, number, STRINGS, raw(hashes[sort[part]]), raw(shape, "<u2"), raw(block.ids[known.docs[anchors]], "<i8"), block.data[stretches(first, end)].tobytes()
+            yield bucket, number, STRINGS, raw(hashes[sort[part]]), raw(shape, "<u2"), planes(block.ids[known.docs[anchors]], "<i8"), block.data[stretches(first, end)].tobytes()
         a, b, docs, _, _ = self.single_entries(block, known, state)
         for bucket, part in self.dealt(a):
-            yield bucket, number, SINGLES, raw(a[part]), raw(b[part]), raw(block.ids[docs[part]], "<i8"), None
+            yield bucket, number, SINGLES, raw(a[part]), raw(b[part]), planes(block.ids[docs[part]], "<i8"), None
 
     # Reducers' answers, in the order in which they were asked.
 
     def answer_seeds(self, rows: list[dict]) -> Iterator[tuple]:
         sizes = [len(r["a"]) // 4 for r in rows]
-        keys = np.frombuffer(b"".join(r["a"] for r in rows), "<u4")
+        keys = np.concatenate([np.cumsum(unplaned(r["a"], "<u4"), dtype=np.uint32) for r in rows])
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         twice = np.zeros(len(keys), "u1")
@@ -358,7 +369,7 @@ class Job:
             return
         sizes = [len(r["a"]) // 8 for r in rows]
         h, c = (np.frombuffer(b"".join(r[k] for r in rows), "<u8") for k in "ab")
-        doc = np.frombuffer(b"".join(r["c"] for r in rows), "<i8")
+        doc = np.concatenate([unplaned(r["c"], "<i8") for r in rows])
         mark = np.concatenate([np.unpackbits(np.frombuffer(r["d"], "u1"), count=n) if r["d"] else np.zeros(n, "u1") for r, n in zip(rows, sizes, strict=True)])
         order = np.lexsort((doc, c, h))
         hs, cs, ds = h[order], c[order], doc[order]
@@ -381,7 +392,7 @@ class Job:
         if strings:
             h = np.frombuffer(b"".join(r["a"] for r in strings), "<u8")
             shape = np.frombuffer(b"".join(r["b"] for r in strings), "<u2").reshape(-1, 2).astype(np.int64)
-            doc = np.frombuffer(b"".join(r["c"] for r in strings), "<i8")
+            doc = np.concatenate([unplaned(r["c"], "<i8") for r in strings])
             masks = shared_strings(h, shape[:, 0], shape[:, 1], doc, b"".join(r["d"] for r in strings), self.window)
             at = 0
             for r in strings:
@@ -390,7 +401,7 @@ class Job:
                 at += n
         if singles:
             a, b = (np.frombuffer(b"".join(r[k] for r in singles), "<u8") for k in "ab")
-            doc = np.frombuffer(b"".join(r["c"] for r in singles), "<i8")
+            doc = np.concatenate([unplaned(r["c"], "<i8") for r in singles])
             order = np.lexsort((doc, b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
             repeat = np.zeros(len(a), "u1")
