@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import LEAST_COSINE, MENTIONS, TERM, weights
+from .licenses import COMMENT, LEAST_COSINE, MENTIONS, TEMPLATES, TERM
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,19 +57,29 @@ def quoted(text: str) -> str:
 
 
 def licenses_sql() -> str:
-    idf, unknown, rows = weights()
-    frequencies = ", ".join(f"({quoted(t)}, {w!r})" for t, w in sorted(idf.items()))
-    vectors = ", ".join(f"({quoted(t)}, {n}, {quoted(name)}, {w!r})" for t, n, name, w in rows)
+    texts = ", ".join(f"({n}, {quoted(name)}, {quoted(text)})" for n, (name, text) in enumerate(TEMPLATES))
+    speaks = lambda x: f"regexp_matches({x}, {quoted(MENTIONS)})"
+    bare = lambda x: f"regexp_replace({x}, {quoted(COMMENT)}, '')"
     return rf"""
-WITH idf(term, idf) AS (VALUES {frequencies}), vec(term, template, license, weight) AS (VALUES {vectors}),
+WITH templates(template, license, body) AS (VALUES {texts}),
+counted AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), {quoted(TERM)})) AS term FROM templates) GROUP BY 1, 2, 3),
+idf AS (SELECT term, ln((1 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM counted GROUP BY term),
+vec AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM counted JOIN idf USING (term)),
 files AS (
   SELECT doc_id, concat_ws('/', source, lang, doc_id // 1000, doc_id || '.txt') AS path, coalesce(text, '') AS text,
-    regexp_matches(coalesce(string_split(text, chr(10))[1], ''), {quoted(MENTIONS)}) AS whole FROM documents
+    {speaks("coalesce(string_split(text, chr(10))[1], '')")} AS whole FROM documents
+), lines AS (
+  SELECT doc_id, text, whole, string_split(text, chr(10)) AS lines, list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, {quoted(COMMENT)})) AS marks FROM files WHERE whole OR {speaks("text")}
+), cut AS (
+  SELECT doc_id, text, whole, lines, array_to_string(list_transform(lines, lambda x, i:
+    CASE WHEN i = 1 THEN '' WHEN marks[i] = marks[i - 1] THEN chr(10) ELSE chr(1) END || CASE WHEN marks[i] AND (i = 1 OR NOT marks[i - 1]) THEN chr(2) ELSE '' END || {bare("x")}), '') AS joined FROM lines
 ), units AS (
-  SELECT doc_id, 0 AS unit, text AS body FROM files WHERE whole
-  UNION ALL SELECT doc_id, unit, body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS unit FROM files WHERE NOT whole) WHERE regexp_matches(body, {quoted(MENTIONS)})
+  SELECT doc_id, unnest(u) AS body, unnest(range(len(u))) AS unit FROM (SELECT doc_id, list_concat(CASE WHEN whole THEN [text] ELSE [] END,
+    list_filter(list_transform(lines, lambda x: {bare("x")}), lambda x: {speaks("x")}),
+    list_filter(string_split_regex(joined, '\x01|\n[ \t]*\n'), lambda x: {speaks("x")} AND contains(x, chr(10))),
+    list_filter(string_split(joined, chr(1)), lambda x: starts_with(x, chr(2)) AND {speaks("x")} AND contains(x, chr(10)))) AS u FROM cut)
 ), terms AS (SELECT doc_id, unit, unnest(regexp_extract_all(lower(body), {quoted(TERM)})) AS term FROM units),
-weighed AS (SELECT doc_id, unit, term, count(*) * coalesce(any_value(idf), {unknown!r}) AS w FROM terms LEFT JOIN idf USING (term) GROUP BY 1, 2, 3),
+weighed AS (SELECT doc_id, unit, term, count(*) * coalesce(any_value(idf), ln(1 + {len(TEMPLATES)}) + 1) AS w FROM terms LEFT JOIN idf USING (term) GROUP BY 1, 2, 3),
 lengths AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS length FROM weighed GROUP BY 1, 2),
 dots AS (SELECT doc_id, unit, template, license, sum(w * weight) AS dot FROM weighed JOIN vec USING (term) GROUP BY 1, 2, 3, 4),
 scored AS (SELECT doc_id, unit, template, license, round(dot / length, 6) AS cosine FROM dots JOIN lengths USING (doc_id, unit) WHERE round(dot / length, 6) >= {LEAST_COSINE}),
