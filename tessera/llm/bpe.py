@@ -160,28 +160,31 @@ def roundtrip(docs: DataFrame, tokenizer_path: str, finish: Finish = ids_and_tex
     texts = keyed_text(docs, id_col, text_col)
     near = arrow_rows(texts.where(F.length("text") <= spread_chars), schema, short)
 
-    part = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / spread_chars).cast("int")))
-    tall = texts.where(F.length("text") > spread_chars).withColumn("copy", F.expr("uuid()"))
-    leaves = (
-        tall.select("doc_id", "copy", part.alias("n"), "text")
-        .select("doc_id", "copy", "n", F.substring("text", F.col("n") * spread_chars + 1, F.lit(spread_chars)).alias("text"))
-        .repartition("doc_id", "copy", "n")
-    )
+    # A long text is known by its digests, so that a task that runs again cuts the same parts; copies of one are encoded once.
+    tall = texts.where(F.length("text") > spread_chars).select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("l"), "text")
+
+    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for k, l, text in rows:
+            for n, at in enumerate(range(0, len(text), spread_chars)):
+                yield k, l, n, text[at : at + spread_chars]
+
+    leaves = arrow_rows(tall.select("k", "l", "text"), "k long, l long, n int, text string", cut, text_at=2).dropDuplicates(["k", "l", "n"])
 
     def encoded(rows: Iterator[tuple]) -> Iterator[tuple]:
         tree = tree_encoder(tokenizer_path)
-        for doc_id, copy, n, text in rows:
+        for k, l, n, text in rows:
             chunks, ids = ([text], [b""]) if tree.whole(text) else tree.tree(text)
             ends = np.cumsum([len(c) for c in chunks], dtype="<i8").tobytes()
             counts = np.array([len(i) for i in ids], dtype="<i8").tobytes()
-            yield doc_id, copy, n, text, ends, counts, b"".join(ids)
+            yield k, l, n, text, ends, counts, b"".join(ids)
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         tree = tree_encoder(tokenizer_path)
         frame = frame.sort_values("n")
+        key = frame["k"].iloc[0], frame["l"].iloc[0]
         whole = "".join(frame["text"])
         if tree.whole(whole):
-            return pd.DataFrame([done(frame["doc_id"].iloc[0], tree.encode(whole))], columns=names)
+            return pd.DataFrame([(*key, *done(0, tree.encode(whole))[1:])], columns=names)
         level = []
         for text, ends, counts, data in zip(frame["text"], frame["ends"], frame["counts"], frame["ids"], strict=True):
             stops = np.frombuffer(ends, "<i8").tolist()
@@ -189,11 +192,12 @@ def roundtrip(docs: DataFrame, tokenizer_path: str, finish: Finish = ids_and_tex
             level.append(([text[a:b] for a, b in zip([0, *stops], stops, strict=False)], [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]))
         while len(level) > 1:
             level = [tree.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return pd.DataFrame([done(frame["doc_id"].iloc[0], b"".join(level[0][1]))], columns=names)
+        return pd.DataFrame([(*key, *done(0, b"".join(level[0][1]))[1:])], columns=names)
 
-    names = [f.name for f in near.schema.fields]
-    parts = arrow_rows(leaves, "doc_id long, copy string, n int, text string, ends binary, counts binary, ids binary", encoded, text_at=3)
-    return near.unionByName(parts.groupBy("doc_id", "copy").applyInPandas(joined, schema))
+    names = ["k", "l", *(f.name for f in near.schema.fields[1:])]
+    parts = arrow_rows(leaves, "k long, l long, n int, text string, ends binary, counts binary, ids binary", encoded, text_at=3)
+    whole_texts = parts.groupBy("k", "l").applyInPandas(joined, f"k long, l long, {columns}")
+    return near.unionByName(tall.select("doc_id", "k", "l").join(whole_texts, ["k", "l"]).drop("k", "l"))
 
 
 def digests(ids: np.ndarray, decoded: str) -> tuple:
