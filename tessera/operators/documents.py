@@ -14,10 +14,13 @@ from ..functions import jsonschema
 from ..functions import markdown as md
 from ..sources.corpus import flat_map
 from ..sources.frontmatter import metadata, route_of, split_markdown
+from .lineage import cut
 
 ISSUES = "code string, route string, line int, message string"
 #: What each rule's findings count as unless configured.
 SEVERITIES = {"shacl_violation": "error", "frontmatter_schema": "error", "missing_schema_ref": "error", "route_safety": "error", "output_collision": "error", "missing_layout_file": "error", "missing_metadata": "error", "broken_links": "warning", "filename_pattern": "warning", "link_style": "warning", "headings": "off", "heading_levels": "off", "duplicate_headings": "off", "thematic_breaks": "off"}
+#: A link or image in a heading.
+LINK = r"!?\[[^\]]*\]\([^)]*\)"
 SUFFIX = r"(?i)\.(md|yaml|yml|json|toml)$"
 CUTOFF = 0.86
 
@@ -59,18 +62,22 @@ def heading_level_skips(found: DataFrame) -> DataFrame:
 
 def duplicate_headings(found: DataFrame) -> DataFrame:
     """Headings from level two on whose text an earlier one of the document has, but for case, links and white space."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\[([^\]]*)\]\([^)]*\)", "$1"), "`", ""), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), LINK, ""), "`", ""), r"\s+", " "))
     low = found.where(F.col("level") >= 2).withColumn("key", plain)
     w = Window.partitionBy("route", "key").orderBy("line")
     return low.select("route", "line", "text", F.first("line").over(w).alias("first_line"), F.row_number().over(w).alias("n")).where("n > 1").drop("n")
 
 
 def heading_style(found: DataFrame) -> DataFrame:
-    """(route, line, issue): numbered headings, and lower ones in title case."""
-    text = F.trim(F.regexp_replace("text", r"\[([^\]]*)\]\([^)]*\)", "$1"))
-    numbered = text.rlike(r"^(?:\d+\.)+\s|^\d+(?:\.\d+)*\.?\s")
-    rest = F.slice(F.split(text, r"\s+"), 2, 1000)
-    title = F.size(F.filter(rest, lambda w: w.rlike(r"^[A-Z][a-z]{2,}$"))) >= 2
+    """(route, line, issue): numbered headings ("1. x", "1) x"), and lower ones in title case.
+
+    Links don't count. A word in title case has three letters or more, the first one large and all others small.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", LINK, ""), r"\s+", " "), r"^[ ,;:]+|[ ,;:]+$", "")
+    numbered = F.col("text").rlike(r"^\d+[.)]\s+")
+    words = F.split(text, " ")
+    rest = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1))
+    title = F.size(F.filter(rest, lambda w: F.regexp_replace(w, "^[.,;:!?]+|[.,;:!?]+$", "").rlike(r"^\p{Lu}[^\p{Lu}\p{Nd}-]*\p{Ll}[^\p{Lu}\p{Nd}-]*$") & (F.length(F.regexp_replace(w, "^[.,;:!?]+|[.,;:!?]+$", "")) > 2))) >= 2
     issue = F.when(numbered, "numbered").when((F.col("level") >= 2) & title, "title case")
     return found.select("route", "line", issue.alias("issue")).where(F.col("issue").isNotNull())
 
@@ -159,8 +166,8 @@ def aliases(found: DataFrame) -> DataFrame:
 def suggest_links(files: DataFrame, names: DataFrame, most: int = 200_000) -> DataFrame:
     """(source_route, alias, target_route, line, column) of mentions of other pages that are no links yet.
 
-    Pages are scanned with one pattern of all aliases, which has to fit in memory; with more than ``most`` aliases,
-    candidate aliases of each page are found by a join on the first word in them instead, those without any by search.
+    Candidate aliases of a page are found by a join on the word in them that the fewest aliases have, those without any word by
+    search; only these are looked for in the page. Up to ``most`` aliases, they are sent to every task for the join.
     """
     schema = "source_route string, alias string, target_route string, line int, column int"
 
@@ -169,10 +176,11 @@ def suggest_links(files: DataFrame, names: DataFrame, most: int = 200_000) -> Da
         return [(here, a, r, line, column) for a, r, line, column, *_ in md.mentions(split_markdown(text)[1], table, here)]
 
     pages = files.where(F.col("path").endswith(".md"))
-    if names.limit(most + 1).count() <= most:
-        shared = files.sparkSession.sparkContext.broadcast({r["alias"]: r["route"] for r in names.collect()})
-        return flat_map(pages.select("path", "text"), schema, lambda p, t: rows_for(shared.value, p, t))
-    keyed = names.select("alias", "route", F.regexp_extract("alias", r"[\p{L}\p{N}_]+", 0).alias("w"))
+    names = cut(names.select("alias", "route"))
+    parts = names.select("alias", "route", F.explode_outer(F.array_distinct(F.regexp_extract_all("alias", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
+    common = parts.where(F.col("w").isNotNull()).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    keyed = parts.join(common, "w", "left").groupBy("alias", "route").agg(F.min_by("w", F.struct("n", "w")).alias("w")).select("alias", "route", F.coalesce("w", F.lit("")).alias("w"))
+    keyed = F.broadcast(keyed) if names.count() <= most else keyed
     words = pages.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
     wordless = pages.join(keyed.where("w = ''"), F.expr("contains(text, alias)")).select("path", "alias", "route")
     candidates = words.join(keyed.where("w <> ''"), "w").select("path", "alias", "route").unionByName(wordless).groupBy("path").agg(F.collect_list(F.struct("alias", "route")).alias("table"))
@@ -197,8 +205,15 @@ def fix_links(broken: DataFrame, routes: DataFrame, renames: dict[str, str] | No
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
     left = targets.select("target_route", F.explode(pairs(F.col("target_route"))).alias("pair"))
     right = known.select("route", F.explode(pairs(F.col("route"))).alias("pair"))
-    # A ratio of CUTOFF needs at least so many common pairs, and lengths within a third.
-    near = left.join(right, "pair").groupBy("target_route", "route").agg(F.count(F.lit(1)).alias("n")).where(F.abs(F.length("target_route") - F.length("route")) <= 0.33 * F.length("target_route"))
+    # Names of a and b letters have a ratio of CUTOFF if m >= c (a + b) letters match, c being its half, in at most a + b - 2 m + 1
+    # stretches. So a name lacks at most 2 a + b - 3 m of its pairs, and b >= a c / (1 - c): one more than that of its
+    # rarest pairs are looked up, of which a close route has one at least. Lengths are within a third.
+    c = CUTOFF / 2
+    lacking = F.floor(F.length("target_route") * ((2 - 3 * c) + (1 - 3 * c) * c / (1 - c)) + 1e-9)
+    common = right.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    ranked = left.join(common, "pair", "left").groupBy("target_route").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs"))
+    prefix = ranked.select("target_route", F.explode(F.slice("pairs", F.lit(1), (lacking + 1).cast("int"))).alias("p")).where("p.n > 0").select("target_route", F.col("p.pair").alias("pair"))
+    near = prefix.join(right, "pair").select("target_route", "route").distinct().where(F.abs(F.length("target_route") - F.length("route")) <= 0.33 * F.length("target_route"))
     close = flat_map(near.select("target_route", "route"), "target_route string, route string", lambda a, b: [(a, b)] if difflib.SequenceMatcher(None, b, a).ratio() >= CUTOFF else [])
     only = close.groupBy("target_route").agg(F.count(F.lit(1)).alias("n"), F.min("route").alias("close")).where("n = 1").select("target_route", "close")
     done = step.join(only, "target_route", "left")

@@ -15,7 +15,6 @@ SAME = OWL + "sameAs"
 SCHEMA_PREDICATES = [RDFS + p for p in ("subClassOf", "subPropertyOf", "domain", "range")] + [OWL + p for p in ("equivalentClass", "equivalentProperty", "inverseOf", "hasValue", "someValuesFrom", "allValuesFrom", "onProperty", "intersectionOf", "unionOf", "propertyChainAxiom")]
 PROPERTY_TYPES = [OWL + p for p in ("SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty")]
 FACT = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
-ROUNDS = 100
 
 
 class Rules:
@@ -138,7 +137,8 @@ class Rules:
 def infer(quads: DataFrame, per_graph: bool = False) -> DataFrame:
     """The quads with all that follows from them: over the union of graphs (no column g), or within each graph.
 
-    Axiomatic and datatype triples are not added. Loops are fine; a closure that doesn't settle raises.
+    Axiomatic and datatype triples are not added. Loops are fine: no rule makes new
+    terms, so rounds end when nothing is new.
     """
     keys = ["g"] if per_graph else []
     known = cut(quads.select(*keys, *FACT).distinct())
@@ -151,7 +151,7 @@ def infer(quads: DataFrame, per_graph: bool = False) -> DataFrame:
         known = known.unionByName(facts.join(known, [*keys, "s", "p", "o"], "left_anti"))
     known = cut(known.distinct())
     new = known
-    for _ in range(ROUNDS):
+    while True:
         found = rules.apply(new, known) + rules.equalities(new, known)
         if not found:
             return known
@@ -161,4 +161,3 @@ def infer(quads: DataFrame, per_graph: bool = False) -> DataFrame:
         if new.isEmpty():
             return known
         known = cut(known.unionByName(new))
-    raise RuntimeError(f"inference did not settle in {ROUNDS} rounds")

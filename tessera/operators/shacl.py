@@ -6,12 +6,13 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.algebra import RDF, RDFS, SH, TYPE, XSD
 from ..plans.bindings import NUMERIC
 from .closure import transitive
+from .lineage import cut
 
 REPORT = "focus string, path string, value string, component string, severity string, message string, shape string"
 CHECKS = {XSD + "integer": "decimal(38,0)", XSD + "int": "int", XSD + "long": "long", XSD + "decimal": "decimal(38,18)", XSD + "double": "double", XSD + "float": "float", XSD + "boolean": "boolean", XSD + "date": "date", XSD + "dateTime": "timestamp_ntz"}
@@ -40,18 +41,29 @@ class Shape:
 
 
 class Shapes:
-    """The shapes in a set of triples. Only triples about shapes are collected: they don't grow with the data."""
+    """The shapes in a set of triples. Only triples about shapes, and the lists that they name, are collected: they don't grow with the data."""
 
     def __init__(self, triples: DataFrame) -> None:
-        about = triples.where(F.startswith("p", F.lit(SH)) | ((F.col("p") == TYPE) & F.startswith("o", F.lit(SH))) | F.col("p").isin(RDF + "first", RDF + "rest"))
+        about = triples.where(F.startswith("p", F.lit(SH)) | ((F.col("p") == TYPE) & F.startswith("o", F.lit(SH))))
         self.nodes: dict[str, Shape] = {}
         self.lists: dict[str, dict[str, Node]] = defaultdict(dict)
+        named: list[tuple[str]] = []
         for r in about.collect():
-            node = Node(r["o"], r["o_kind"], r["o_dt"], r["o_lang"])
-            if r["p"] in (RDF + "first", RDF + "rest"):
-                self.lists[r["s"]][r["p"]] = node
-            else:
-                self.nodes.setdefault(r["s"], Shape(r["s"])).facts[r["p"]].append(node)
+            self.nodes.setdefault(r["s"], Shape(r["s"])).facts[r["p"]].append(self.node(r))
+            if r["o_kind"] == "bnode":
+                named.append((r["o"],))
+        if named:
+            heads = triples.sparkSession.createDataFrame(named, "x string").distinct()
+            rest = triples.where(F.col("p") == RDF + "rest").select(F.col("s").alias("x"), F.col("o").alias("y"))
+            # Paths may be lists of lists.
+            inner = triples.where((F.col("p") == RDF + "first") & (F.col("o_kind") == "bnode")).select(F.col("s").alias("x"), F.col("o").alias("y"))
+            cells = transitive(rest.unionByName(inner), start=heads).select(F.col("y").alias("s")).unionByName(heads.select(F.col("x").alias("s"))).distinct()
+            for r in triples.where(F.col("p").isin(RDF + "first", RDF + "rest")).join(cells, "s", "left_semi").collect():
+                self.lists[r["s"]][r["p"]] = self.node(r)
+
+    @staticmethod
+    def node(r: Row) -> Node:
+        return Node(r["o"], r["o_kind"], r["o_dt"], r["o_lang"])
 
     def listed(self, head: str) -> list[Node]:
         out, seen = [], set()
@@ -73,23 +85,22 @@ class Validator:
 
     @property
     def instances(self) -> DataFrame:
-        """(node, class) with the classes above."""
+        """(node, kind, class) with the classes above."""
         if self._classes is None:
-            types = self.data.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("o").alias("class"))
+            types = self.data.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("s_kind").alias("kind"), F.col("o").alias("class"))
             below = self.data.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("x"), F.col("o").alias("y"))
             if below.isEmpty():
                 self._classes = types.distinct()
             else:
                 up = transitive(below).select(F.col("x").alias("class"), F.col("y").alias("up"))
-                self._classes = types.unionByName(types.join(up, "class").select("node", F.col("up").alias("class"))).distinct()
+                self._classes = types.unionByName(types.join(up, "class").select("node", "kind", F.col("up").alias("class"))).distinct()
         return self._classes
 
     def focus(self, shape: Shape) -> DataFrame:
         """(focus, focus_kind)."""
         parts = []
         for n in shape.all("targetClass"):
-            found = self.instances.where(F.col("class") == n.lex).select(F.col("node").alias("focus"))
-            parts.append(found.withColumn("focus_kind", F.lit("iri")))
+            parts.append(self.instances.where(F.col("class") == n.lex).select(F.col("node").alias("focus"), F.col("kind").alias("focus_kind")))
         for n in shape.all("targetNode"):
             parts.append(self.data.sparkSession.range(1).select(F.lit(n.lex).alias("focus"), F.lit(n.kind).alias("focus_kind")))
         for n in shape.all("targetSubjectsOf"):
@@ -103,13 +114,41 @@ class Validator:
         path = shape.one("path")
         if path is None:
             return focus.select("focus", F.col("focus").alias("v"), F.col("focus_kind").alias("v_kind"), F.lit("").alias("v_dt"), F.lit("").alias("v_lang"))
-        node = self.shapes.nodes.get(path.lex)
-        inverse = node.one("inversePath") if node else None
-        if inverse is not None:
-            step = self.data.where(F.col("p") == inverse.lex).select(F.col("o").alias("focus"), F.col("s").alias("v"), F.col("s_kind").alias("v_kind"), F.lit("").alias("v_dt"), F.lit("").alias("v_lang"))
-        else:
-            step = self.data.where(F.col("p") == path.lex).select(F.col("s").alias("focus"), F.col("o").alias("v"), F.col("o_kind").alias("v_kind"), F.col("o_dt").alias("v_dt"), F.col("o_lang").alias("v_lang"))
-        return step.distinct().join(focus.select("focus").distinct(), "focus")
+        ends = focus.select("focus", F.col("focus").alias("v"), F.col("focus_kind").alias("v_kind"), F.lit("").alias("v_dt"), F.lit("").alias("v_lang")).distinct()
+        return self.reached(ends, path.lex)
+
+    def reached(self, ends: DataFrame, path: str) -> DataFrame:
+        """(focus, v, v_kind, v_dt, v_lang): where a path leads to from (focus, v...), each end once."""
+        node, cell = self.shapes.nodes.get(path), path in self.shapes.lists
+        if cell:
+            return reduce(lambda found, step: self.reached(found, step.lex), self.shapes.listed(path), ends)
+        kinds = {k: n for k in ("inversePath", "alternativePath", "zeroOrMorePath", "oneOrMorePath", "zeroOrOnePath") if node and (n := node.one(k)) is not None}
+        if not kinds:
+            step = self.data.where(F.col("p") == path).select(F.col("s").alias("v"), F.col("o").alias("w"), F.col("o_kind").alias("w_kind"), F.col("o_dt").alias("w_dt"), F.col("o_lang").alias("w_lang"))
+            return self.stepped(ends, step)
+        (kind, inner), *more = kinds.items()
+        if more:
+            raise ValueError(f"a path of several kinds: {path}")
+        if kind == "inversePath":
+            if inner.lex in self.shapes.lists or inner.lex in self.shapes.nodes:
+                raise ValueError("only predicates can be inverted")
+            return self.stepped(ends, self.data.where(F.col("p") == inner.lex).select(F.col("o").alias("v"), F.col("s").alias("w"), F.col("s_kind").alias("w_kind"), F.lit("").alias("w_dt"), F.lit("").alias("w_lang")))
+        if kind == "alternativePath":
+            return reduce(DataFrame.unionByName, [self.reached(ends, n.lex) for n in self.shapes.listed(inner.lex)]).distinct()
+        if kind == "zeroOrOnePath":
+            return ends.unionByName(self.reached(ends, inner.lex)).distinct()
+        once = self.reached(ends, inner.lex)
+        # From each node that the first step leads to, all that further steps lead to.
+        new = found = cut(once)
+        while not new.isEmpty():
+            new = cut(self.reached(new, inner.lex).join(found, found.columns, "left_anti"))
+            found = cut(found.unionByName(new))
+        return (ends.unionByName(found) if kind == "zeroOrMorePath" else found).distinct()
+
+    @staticmethod
+    def stepped(ends: DataFrame, step: DataFrame) -> DataFrame:
+        found = ends.select("focus", "v").join(step, "v")
+        return found.select("focus", F.col("w").alias("v"), F.col("w_kind").alias("v_kind"), F.col("w_dt").alias("v_dt"), F.col("w_lang").alias("v_lang")).distinct()
 
     def report(self) -> DataFrame:
         """A row per violation; none if the data conform."""

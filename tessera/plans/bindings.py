@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def lex(v: Value) -> Column:
     if k.name == "term":
         return v.col["lex"]
     if k.name == "ts":
-        return F.concat(F.date_format(v.col, "yyyy-MM-dd"), F.lit("T"), F.date_format(v.col, "HH:mm:ss"))
+        return F.replace(v.col.cast("string"), F.lit(" "), F.lit("T"))
     return v.col.cast("string")
 
 
@@ -158,13 +159,41 @@ def compatible(a: Rel, b: Rel) -> tuple[Rel, Rel, Column | None, dict[str, Kind]
     return a, Rel(right, b.kinds), condition, wanted
 
 
+def bound_parts(a: Rel, b: Rel, shared: list[str]) -> list[tuple[DataFrame, DataFrame, Column | None]]:
+    """Pairs of parts whose joins, by plain equality each, make up the join of compatible solutions.
+
+    Rows that leave a variable unbound are compatible whatever the other side says, so they are joined apart, without it.
+    """
+    parts: list[tuple[DataFrame, DataFrame, Column | None]] = [(a.df, b.df, None)]
+    for v in shared:
+        x, y, split = F.col(name(v)), F.col(f"r_{v}"), []
+        for left, right, condition in parts:
+            equal = x == y if condition is None else condition & (x == y)
+            here = left.where(x.isNotNull()) if a.kinds[v].maybe else left
+            there = right.where(y.isNotNull()) if b.kinds[v].maybe else right
+            split.append((here, there, equal))
+            if a.kinds[v].maybe:
+                split.append((left.where(x.isNull()), right, condition))
+            if b.kinds[v].maybe:
+                split.append((here, right.where(y.isNull()), condition))
+        parts = split
+    return parts
+
+
 def join(a: Rel, b: Rel, how: str = "inner", extra: Column | None = None) -> Rel:
     """Inner or left join on compatible solutions; ``extra`` is a further condition."""
     a, b, condition, wanted = compatible(a, b)
     if extra is not None:
         condition = extra if condition is None else condition & extra
     left = how == "left"
-    if condition is None and not left:
+    unbound = [v for v in wanted if a.kinds[v].maybe or b.kinds[v].maybe]
+    if 0 < len(unbound) <= 2 and not (left and any(b.kinds[v].maybe for v in unbound)):
+        joins = []
+        for one, other, equal in bound_parts(a, b, list(wanted)):
+            both = equal if extra is None else extra if equal is None else equal & extra
+            joins.append(one.join(other, F.lit(True) if both is None else both, how) if both is not None or left else one.crossJoin(other))
+        joined = reduce(DataFrame.unionByName, joins)
+    elif condition is None and not left:
         joined = a.df.crossJoin(b.df)
     else:
         joined = a.df.join(b.df, F.lit(True) if condition is None else condition, how)

@@ -16,7 +16,7 @@ from ..sources import catalog
 from ..sources.quads import SCHEMA
 from ..sources.rdf import Turtle
 from ..streaming import refresh
-from .mapping import EX, NAMESPACES, dataset, table
+from .mapping import EX, MODEL, NAMESPACES, dataset, table
 
 HEAD = "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in NAMESPACES.items())
 
@@ -125,18 +125,32 @@ def shacl_report(shape: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def shacl_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer has no name, and those that neither a customer nor a status leads anywhere from."""
+    names = facts(table(spark, sf_dir, "customer"), key("customer/", "c_custkey"), EX + "name", F.col("c_name"), "literal", XSD + "string")
+    shape = "sh:property [ sh:path ( ex:customer ex:name ) ; sh:minCount 1 ; sh:message \"sequence\" ] ; sh:property [ sh:path [ sh:alternativePath ( ex:customer [ sh:inversePath ex:none ] ) ] ; sh:minCount 1 ; sh:message \"alternative\" ]"
+    text = f"ex:Shape a sh:NodeShape ; sh:targetClass ex:Order ; {shape} ."
+    return shacl.validate(all_of(gapped_orders(spark, sf_dir), names).drop("g"), schema_quads(spark, text).drop("g")).select("focus", "component", "message")
+
+
 ORDER = f"concat('{EX}order/', o_orderkey)"
-FEW = "FROM orders WHERE o_orderkey < 4000"
+FEW = "FROM orders WHERE true"
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.graph_stats(small(spark, sf_dir).drop("g").distinct())
+    return summary.graph_stats(dataset(spark, sf_dir).quads().drop("g").distinct())
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dataset(spark, sf_dir)
-    d.tables = [t for t in d.tables if t.graph.endswith(("region", "nation", "customer", "supplier"))]
-    return d.quads()
+def mapped_sql() -> str:
+    """Predicate, object and its kind of every mapped column, and the rows' types, of all tables."""
+    parts = []
+    for name, (_, kind, fields) in MODEL.items():
+        parts.append(f"SELECT '{TYPE}' AS p, 'class {kind}' AS o FROM {name}")
+        for predicate, column in fields.items():
+            own = column if isinstance(column, str) else column[0]
+            shown = f"concat('{column[1]} ', {own})" if not isinstance(column, str) else f"concat(replace(typeof({own}), 'BIGINT', 'INTEGER'), ' ', {own})"
+            parts.append(f"SELECT '{EX}{predicate}', {shown} FROM {name} WHERE {own} IS NOT NULL")
+    return " UNION ALL ".join(parts)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +208,7 @@ def disk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 N = f"concat('{EX}nation/', n_nationkey)"
 R = f"concat('{EX}region/', n_regionkey)"
 CLOSURE = "WITH RECURSIVE e AS (SELECT n_nationkey AS x, (n_nationkey * 3 + 1) % 25 AS y FROM nation), c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)"
-NEEDS = "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 3 AS y FROM part WHERE p_partkey < 200 AND p_partkey > 0{more}), c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)"
+NEEDS = "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey // 3 AS y FROM part WHERE p_partkey > 0{more}), c AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)"
 
 ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "infer_subclass": (
@@ -225,17 +239,16 @@ ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         shacl_report("sh:or ( [ sh:path ex:customer ; sh:minCount 1 ] [ sh:path ex:status ; sh:hasValue \"O\" ] )"),
         f"SELECT {ORDER} AS focus, 'or' AS component, {ORDER} AS value, '' AS message {FEW} AND o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0 AND o_orderstatus <> 'O'",
     ),
+    "shacl_paths": (
+        shacl_paths,
+        f"SELECT {ORDER} AS focus, 'minCount' AS component, 'sequence' AS message {FEW} AND (o_orderkey % 11 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT {ORDER}, 'minCount', 'alternative' {FEW} AND o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0",
+    ),
     "graph_stats": (
         graph_stats,
-        "WITH k AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s) SELECT 2 * r + 3 * n + 5 * c + 4 * s AS triples, r + n + c + s AS subjects, 6 AS predicates, "
-        "(SELECT count(DISTINCT o) FROM (SELECT unnest(['c1', 'c2', 'c3', 'c4']) AS o UNION ALL SELECT 'l' || r_name FROM region UNION ALL SELECT 'l' || n_name FROM nation UNION ALL SELECT 'l' || c_name FROM customer UNION ALL SELECT 'l' || s_name FROM supplier UNION ALL SELECT 'r' || n_regionkey FROM nation "
-        "UNION ALL SELECT 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || s_nationkey FROM supplier UNION ALL SELECT 'd' || c_acctbal FROM customer UNION ALL SELECT 'd' || s_acctbal FROM supplier UNION ALL SELECT 'l' || c_mktsegment FROM customer)) AS objects FROM k",
-    ),
-    "vocab_classes": (lambda s, d: summary.classes(small(s, d)), " UNION ALL ".join(f"SELECT '{EX}{c}' AS iri, count(*) AS n FROM {t}" for t, c in (("region", "Region"), ("nation", "Nation"), ("customer", "Customer"), ("supplier", "Supplier")))),
-    "vocab_predicates": (
-        lambda s, d: summary.predicates(small(s, d)),
-        f"WITH k AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM supplier) AS s) SELECT '{TYPE}' AS iri, r + n + c + s AS n FROM k UNION ALL SELECT '{EX}name', r + n + c + s FROM k UNION ALL SELECT '{EX}region', n FROM k UNION ALL SELECT '{EX}nation', c + s FROM k UNION ALL SELECT '{EX}balance', c + s FROM k UNION ALL SELECT '{EX}segment', c FROM k",
+        f"WITH t AS ({mapped_sql()}) SELECT (SELECT count(*) FROM t) AS triples, {' + '.join(f'(SELECT count(*) FROM {t})' for t in MODEL)} AS subjects, (SELECT count(DISTINCT p) FROM t) AS predicates, (SELECT count(DISTINCT o) FROM t) AS objects FROM (SELECT 1) WHERE true",
     ),
+    "vocab_classes": (lambda s, d: summary.classes(dataset(s, d).quads()), " UNION ALL ".join(f"SELECT '{EX}{kind}' AS iri, count(*) AS n FROM {t}" for t, (_, kind, _) in MODEL.items())),
+    "vocab_predicates": (lambda s, d: summary.predicates(dataset(s, d).quads()), f"SELECT p AS iri, count(*) AS n FROM ({mapped_sql()}) GROUP BY 1"),
     "changed_files": (lambda s, d: summary.changed_files(*manifests(s, d)), "SELECT concat('p', p_partkey) AS path, CASE p_partkey % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'modified' END AS change FROM part WHERE p_partkey % 10 IN (1, 2, 3)"),
     "fingerprint": (fingerprints, "SELECT unnest(['same', 'other']) AS pair"),
     "dependency_closure": (lambda s, d: closure.transitive(needs(s, d)).select("x", "y"), f"{NEEDS.format(more='')} SELECT x, y FROM c"),

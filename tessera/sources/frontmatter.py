@@ -49,6 +49,11 @@ class Config:
         return PREFIXES | {"wiki": self.base_iri} | self.prefixes
 
 
+def load_yaml(text: str):
+    """What a YAML text says, read by the C library where it is installed."""
+    return yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 def split_markdown(text: str) -> tuple[str, str]:
     """(metadata text, body): metadata stand between a first line of three dashes and the next three dashes."""
     if not text.startswith("---"):
@@ -63,9 +68,9 @@ def metadata(path: str, text: str) -> tuple[dict | None, str]:
     try:
         if suffix == ".md":
             head, body = split_markdown(text)
-            data = yaml.safe_load(head) if head.strip() else None
+            data = load_yaml(head) if head.strip() else None
         elif suffix in (".yaml", ".yml"):
-            data, body = yaml.safe_load(text), ""
+            data, body = load_yaml(text), ""
         elif suffix == ".json":
             data, body = json.loads(text), ""
         else:
@@ -82,13 +87,18 @@ def route_of(path: str) -> str:
 
 
 def expand(name: str, c: Config, vocab: bool) -> str | None:
-    """An IRI for a key or type: a known prefix's, the wiki's own, or the vocabulary's."""
+    """An IRI for a name: a known prefix's; else, of keys and types, the wiki's own or the vocabulary's.
+
+    Other names, of documents and things (``vocab`` false), stand for themselves, as urn: and mailto: do.
+    """
     prefix, colon, local = name.partition(":")
     if colon and prefix in c.namespaces:
         return c.namespaces[prefix] + local
     if name.startswith(("http://", "https://")):
         return name
-    if vocab and name.startswith("wiki."):
+    if not vocab:
+        return name
+    if name.startswith("wiki."):
         return c.base_iri + name[5:]
     return c.vocab + name if c.vocab else None
 
