@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import results
-from .operators import documents, shacl, summary
+from .operators import audits, documents, shacl, summary
 from .operators.inference import infer
 from .plans.compiler import Compiler, Result
 from .sources import corpus as source
@@ -74,32 +75,51 @@ class Corpus:
     def fixes(self, renames: dict[str, str] | None = None) -> DataFrame:
         return documents.fix_links(self.broken_links(), self.files.select(documents.route(F.col("path")).alias("route")), renames)
 
-    def check(self, schemas: dict[str, dict] | None = None) -> DataFrame:
-        """(code, route, message) of what makes a corpus invalid."""
-        unsafe = documents.route_safety(self.files).select(F.lit("route_safety").alias("code"), "route", "message")
-        outputs = self.files.select(F.col("path").alias("source"), documents.route(F.col("path")).alias("output_path"))
-        collisions = documents.output_collisions(outputs).select(F.lit("output_collision").alias("code"), F.col("output_path").alias("route"), F.col("first_source").alias("message"))
-        violations = self.shacl().select(F.lit("shacl_violation").alias("code"), F.col("focus").alias("route"), F.concat_ws(" ", "component", "path", "value", "message").alias("message"))
-        found = unsafe.unionByName(collisions).unionByName(violations)
-        return found
+    def check(self, schemas: DataFrame | None = None, others: DataFrame | None = None, folders: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+        """(code, route, message) of what makes a corpus invalid.
 
-    def lint(self, filename_pattern: str = r"[^\s]+") -> DataFrame:
+        ``schemas`` (path, text) are JSON Schemas that metadata may name, ``others`` (path) all other files of the root, ``folders`` the
+        asset folders among them, ``wanted`` (path) the files to look at.
+        """
+        none = self.files.limit(0)
+        schemas = none.select("path", "text") if schemas is None else schemas
+        return audits.check(self.documents, self.config, self.shacl(), schemas, none.select("path") if others is None else others, folders, wanted)
+
+    @property
+    def documents(self) -> DataFrame:
+        """The files that are no plain RDF."""
+        return self.files.where(~F.col("suffix").isin(*source.RDF_SUFFIXES))
+
+    def lint(self, filename_pattern: str = r"[^\s]+", others: DataFrame | None = None, folders: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
         """(code, route, line, message) of what could be written better."""
-        heads = documents.headings(self.files)
-        line = lambda df, code, message: df.select(F.lit(code).alias("code"), "route", F.col("line").cast("int").alias("line"), message.alias("message"))
-        parts = [
-            line(documents.heading_style(heads), "headings", F.col("issue")),
-            line(documents.heading_level_skips(heads), "heading_levels", F.concat_ws(" to ", "from_level", "to_level")),
-            line(documents.duplicate_headings(heads), "duplicate_headings", F.col("text")),
-            line(documents.thematic_breaks(self.files), "thematic_breaks", F.lit("")),
-            line(documents.link_style(self.files), "link_style", F.lit("")),
-            documents.filename_issues(self.files, filename_pattern).select(F.lit("filename_pattern").alias("code"), F.col("path").alias("route"), F.lit(None).cast("int").alias("line"), F.lit("").alias("message")),
-            self.broken_links().select(F.lit("broken_links").alias("code"), F.col("source_route").alias("route"), F.lit(None).cast("int").alias("line"), F.concat_ws(" ", "issue", "raw_target").alias("message")),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return audits.lint(self.documents, self.files.limit(0).select("path") if others is None else others, folders, filename_pattern, wanted)
+
+    def preflight(self, checked: DataFrame, linted: DataFrame, **severities) -> DataFrame:
+        """(stage, code, severity, n) of what ``check`` and ``lint`` found, and of query tables that are out of date."""
+        return audits.preflight(checked, linted, self.rendered(), **severities)
+
+    def rendered(self, inference: bool = False) -> DataFrame:
+        """(path, text) of the pages whose query tables are out of date, with the tables as they should be.
+
+        Each different query runs once; their number, and the tables, are what a page shows, not the data's size.
+        """
+        asked = [r["query"] for r in documents.query_blocks(self.documents).select("query").distinct().collect()]
+        routes = {r["route"] for r in self.documents.where(~F.col("path").contains("/")).select(documents.route(F.col("path")).alias("route")).collect()} if asked else set()
+        tables = {}
+        for text in asked:
+            names, rows = results.plain_rows(self.query(text, inference))
+            tables[text] = results.markdown_table(names, rows, self.config.base_iri, routes)
+        return documents.render_blocks(self.documents, tables)
+
+    def export_documents(self, fmt: str = "nquads") -> DataFrame:
+        """(route, text): each document's own statements, as sorted lines of N-Quads or N-Triples."""
+        graph, config, apart = self.config.base_iri.rstrip("/") + "/graphs/root", self.config, results.format_name(fmt) == "nquads"
+        quads = source.flat_map(
+            self.documents.select("path", "suffix", "text"), "route string, g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string",
+            lambda path, suffix, text: [(source.frontmatter.route_of(path), *q) for q in source.file_quads(path, suffix, text, graph, config)[0]],
+        )
+        lines = quads.select("route", results.line_column(graph=apart).alias("line")).distinct()
+        return lines.groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
 
     def export(self, fmt: str = "json-ld", inference: bool = False) -> str:
         triples = self.graph(inference)
