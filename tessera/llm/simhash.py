@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import arrow_rows, checkpointed, keyed_text
 from .components import components
 
@@ -205,11 +206,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest doc_id (any one, if that id repeats).
+def keep_first(docs: DataFrame, *, words: int = 3, percent: int | None = None, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest doc_id (without ``percent`` any one, if that id repeats).
 
-    Rows without a doc_id count as one document, which stays only if no document with an id is near it.
+    Without ``percent``, fingerprints within RADIUS bits are linked. With it, texts whose sets of shingles have a Jaccard similarity of so
+    many percent: at 80, fingerprints are some ten bits apart, which no ball of a size to emit reaches, so the pairs
+    are chosen and compared by ``shingles``. Without ``percent``, rows without a doc_id count as one document.
+    Null, empty and wordless texts are copies of each other; an empty table gives none; clashing column names do no harm.
     """
+    if percent is not None:
+        return shingles.keep_first(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     found = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col, meeting=meeting)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     return docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates([id_col])
