@@ -7,6 +7,7 @@ and tiles, undoes the horizontal and the floating-point predictor and gives one
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ STRIP_ROWS = 512
 # Fixed values of the format: tags, field types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_HEIGHT, SIZES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES, FORMAT = 317, 322, 323, 324, 325, 339
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+#: Width and height of a text's tiles.
+TILE = (192, 16)
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I"}
 PLAIN, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 
@@ -59,26 +63,19 @@ def packbits_decode(data: bytes) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, at, plain = bytearray(), 0, bytearray()
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for i in range(0, len(plain), 128):
-            some = plain[i : i + 128]
+    def plain(start: int, stop: int) -> None:
+        for i in range(start, stop, 128):
+            some = data[i : min(i + 128, stop)]
             out.append(len(some) - 1)
             out.extend(some)
-        plain.clear()
 
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            flush()
-            out += bytes((257 - run, data[at]))
-        else:
-            plain += data[at : at + run]
-        at += run
-    flush()
+    for run in RUN.finditer(data):
+        plain(at, run.start())
+        out.extend((257 - (run.end() - run.start()), data[run.start()]))
+        at = run.end()
+    plain(at, len(data))
     return bytes(out)
 
 
@@ -221,8 +218,11 @@ def page_of(data: bytes, fields: dict[int, tuple], order: str, number: int) -> P
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor = one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
     kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1), "u")
-    if bits not in (8, 16, 32, 64):
+    if bits not in (1, 2, 4, 8, 16, 32, 64):
         raise ValueError(f"samples of {bits} bits are not read")
+    small, bits = bits if bits < 8 else 0, max(bits, 8)
+    if small and predictor != 1:
+        raise ValueError(f"no predictor is defined for samples of {small} bits")
     dtype = np.dtype(f"{order}{kind}{bits // 8}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     each = samples // planes
@@ -237,9 +237,18 @@ def page_of(data: bytes, fields: dict[int, tuple], order: str, number: int) -> P
         plane, cell = divmod(n, across * down)
         y, x = cell // across * high, cell % across * wide
         rows = high if tiled else min(high, height - y)
-        block = undo(unpack(data[offset : offset + size], compression), wide, rows, each, dtype, predictor)
+        raw = unpack(data[offset : offset + size], compression)
+        block = undo(spread(raw, wide * each, rows, small) if small else raw, wide, rows, each, dtype, predictor)
         pixels[y : y + rows, x : x + wide, plane * each : (plane + 1) * each] = block[: height - y, : width - x]
-    return Page(number, width, height, samples, bits, compression, pixels)
+    return Page(number, width, height, samples, small or bits, compression, pixels)
+
+
+def spread(block: bytes, values: int, rows: int, bits: int) -> bytes:
+    """Samples of 1, 2 or 4 bits, highest first in rows of whole bytes, as a byte each."""
+    row = -(-values * bits // 8)
+    packed = np.frombuffer(block[: rows * row].ljust(rows * row, b"\0"), np.uint8).reshape(rows, row)
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    return (np.unpackbits(packed, axis=1).reshape(rows, -1, bits) * weights).sum(axis=2, dtype=np.uint8)[:, :values].tobytes()
 
 
 def write_pages(pages: list[np.ndarray], *, compression: int = ADOBE_DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -292,10 +301,24 @@ def payload_of(text: str) -> bytes:
     return raw + b"\xff" * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
 
 
-def store_text(text: str, compression: int = ADOBE_DEFLATE, predictor: int = 1) -> bytes:
-    """A text as a TIFF file: ROW samples of 8 bits a row, PAGE_ROWS rows a page."""
-    rows = np.frombuffer(payload_of(text), np.uint8).reshape(-1, ROW)
-    return write_pages([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], compression=compression, predictor=predictor)
+def layout_of(payload: bytes) -> dict:
+    """How a text is laid out if nothing is asked for, by a hash of it, so that equal texts are equal files.
+
+    Five of eight files are deflated, two packed by PackBits, one by LZW; with and without predictor, in strips and tiles, in both byte orders.
+    """
+    h = hashlib.sha256(payload).digest()[0]
+    compression = LZW if h % 8 == 0 else PACKBITS if h % 8 < 3 else ADOBE_DEFLATE
+    tile = TILE if h >> 4 & 1 and len(payload) >= ROW * TILE[1] else None
+    return {"compression": compression, "predictor": 1 + (h >> 3 & 1), "tile": tile, "order": "<>"[h >> 5 & 1]}
+
+
+def store_text(text: str, compression: int | None = None, predictor: int | None = None) -> bytes:
+    """A text as a TIFF file: ROW samples of 8 bits a row, PAGE_ROWS rows a page, laid out as asked for or else by its hash."""
+    payload = payload_of(text)
+    layout = layout_of(payload)
+    layout |= ({} if compression is None else {"compression": compression}) | ({} if predictor is None else {"predictor": predictor})
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
+    return write_pages([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], **layout)
 
 
 def features(pixels: np.ndarray) -> str:
@@ -311,8 +334,11 @@ def features(pixels: np.ndarray) -> str:
     return f"n={flat.size};mean={mean:.4f};std={deviation:.4f};entropy={entropy:.4f};fill={counts[255] / flat.size:.4f};change={change:.4f}"
 
 
-def stored(docs: DataFrame, *, compression: int = ADOBE_DEFLATE, predictor: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media binary): each whole text as a TIFF file. Null and empty texts are one row of 255."""
+def stored(docs: DataFrame, *, compression: int | None = None, predictor: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media binary): each whole text as a TIFF file. Null and empty texts are one row of 255.
+
+    Repeated rows give repeated files; an empty table gives none; other columns are left aside.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
@@ -342,7 +368,7 @@ def pages(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media")
     return arrow_rows(media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")), schema, run)
 
 
-def text_media(docs: DataFrame, *, compression: int = ADOBE_DEFLATE, predictor: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_media(docs: DataFrame, *, compression: int | None = None, predictor: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored, read back and described, without moving the files: one row per text.
 
     (doc_id, n_bytes, n_pages, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): the
