@@ -1,16 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints at distance 3 or less differ, in at least one of three blocks of bits, by a bit or more (or are
-equal). With that block erased, they differ in at most two bits, and half of two is one: so every fingerprint emits, for
-each block, itself and all variants within one bit of it outside the block. Fingerprints that meet in a variant are
+Two fingerprints at a distance of ``radius`` or less differ, in at least one of three blocks of bits, by a third of it or more (rounded
+up; or are equal). With that block erased, they differ in at most the rest, and meet halfway: every fingerprint emits, for
+each block, itself and all variants within half the rest outside the block. For 3 or 4 bits the rest is two and its half
+one, for 5 or 6 bits three or four and two. Fingerprints that meet in a variant are
 verified. Members of a variant are linked where they meet, in a forest of links at most, never as pairs of a group.
-The members of a variant with more than ``MEETING`` of them emit their full balls of radius two around the whole
-fingerprint instead: any value has at most 2,081 fingerprints within two bits, so those groups are bounded.
+The members of a variant with more than ``MEETING`` of them emit their full balls of half the radius around the whole
+fingerprint instead: any value has at most so many fingerprints within that as the ball has values, so those groups are bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +93,10 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def link_group(members: np.ndarray, forest: Forest) -> None:
-    """Links all members at distance RADIUS or less: each is compared with the members not yet in its component."""
+def link_group(members: np.ndarray, forest: Forest, radius: int = RADIUS) -> None:
+    """Links all members at distance ``radius`` or less: each is compared with the members not yet in its component."""
     if len(members) == 2:
-        if int(popcount(members[:1] ^ members[1:])[0]) <= RADIUS:
+        if int(popcount(members[:1] ^ members[1:])[0]) <= radius:
             forest.link(int(members[0]), int(members[1]))
         return
     left = members
@@ -102,34 +104,38 @@ def link_group(members: np.ndarray, forest: Forest) -> None:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             head, front = front[0], front[1:]
-            near = popcount(left ^ head) <= RADIUS
+            near = popcount(left ^ head) <= radius
             if near.any():
                 for other in left[near].tolist():
                     forest.link(int(head), other)
                 front, left = np.concatenate([front, left[near]]), left[~near]
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """(block, variant, fp): for each block, fp without it and with at most one other bit turned."""
+def turned(bits: Sequence[int], most: int) -> list[int]:
+    """All patterns of at most so many of some bits, as signed longs."""
+    return [signed(sum(1 << i for i in some)) for n in range(most + 1) for some in combinations(bits, n)]
+
+
+def variants(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(block, variant, fp): for each block, fp without it and with other bits turned, as many as half of what the block leaves."""
+    half = -(-(radius - -(-radius // len(BLOCKS))) // 2)
     made = []
     for block, (low, high) in enumerate(BLOCKS):
         keep = signed(~(((1 << high) - 1) ^ ((1 << low) - 1)) & ((1 << 64) - 1))
-        turns = [0, *(signed(1 << i) for i in range(BITS) if not low <= i < high)]
-        made += [(block, keep, turn) for turn in turns]
+        made += [(block, keep, turn) for turn in turned([i for i in range(BITS) if not low <= i < high], half)]
     table = F.array(*(F.struct(F.lit(b).cast("byte").alias("block"), F.lit(k).cast("long").alias("keep"), F.lit(t).cast("long").alias("turn")) for b, k, t in made))
     each = fps.select("fp", F.explode(table).alias("v"))
     return each.select(F.col("v.block").alias("block"), F.col("fp").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.turn")).alias("variant"), "fp")
 
 
-def full_ball(fps: DataFrame) -> DataFrame:
-    """(block = -1, variant, fp): every value within two bits of fp."""
-    turns = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
-    table = F.array(*(F.lit(signed(t)).cast("long") for t in turns))
+def full_ball(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(block = -1, variant, fp): every value within half the radius, rounded up, of fp."""
+    table = F.array(*(F.lit(t).cast("long") for t in turned(range(BITS), -(-radius // 2))))
     each = fps.select("fp", F.explode(table).alias("turn"))
     return each.select(F.lit(-1).cast("byte").alias("block"), F.col("fp").bitwiseXOR(F.col("turn")).alias("variant"), "fp")
 
 
-def met(pairs: DataFrame, meeting: int) -> DataFrame:
+def met(pairs: DataFrame, meeting: int, radius: int = RADIUS) -> DataFrame:
     """(a, b) links of fingerprints that meet in a variant, as a forest per task; b is null for a member of a crowd."""
     sorted_runs = pairs.repartition("block", "variant").sortWithinPartitions("block", "variant")
 
@@ -147,7 +153,7 @@ def met(pairs: DataFrame, meeting: int) -> DataFrame:
                 if len(members) > meeting:
                     crowded.update(members.tolist())
                 elif len(members) > 1:
-                    link_group(members, forest)
+                    link_group(members, forest, radius)
             held, size = [], 0
 
         for batch in batches:
@@ -177,29 +183,33 @@ def met(pairs: DataFrame, meeting: int) -> DataFrame:
     return sorted_runs.mapInArrow(work, "a long, b long")
 
 
-def links(fps: DataFrame, meeting: int = MEETING) -> DataFrame:
-    """(a, b): links that connect all fingerprints of (fp) which a chain of distances of RADIUS or less connects."""
-    found = checkpointed(met(variants(fps), meeting))
+def links(fps: DataFrame, meeting: int = MEETING, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links that connect all fingerprints of (fp) which a chain of distances of ``radius`` or less connects."""
+    # Fingerprints are few bytes and their variants many, so they are spread before.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    found = checkpointed(met(variants(spread, radius), meeting, radius))
     close = found.where(F.col("b").isNotNull())
     crowd = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     if crowd.limit(1).count():
-        # At most 2,081 fingerprints share such a variant, some of them at distance 4, so they are verified too.
-        close = close.unionByName(met(full_ball(crowd), 1 << 62))
+        # As many fingerprints as a ball has values share such a variant, some of them further apart than the radius, so they are verified too.
+        close = close.unionByName(met(full_ball(crowd, radius), 1 << 62, radius))
     return close.distinct()
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", meeting: int = MEETING) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
     Documents with one fingerprint are one node, so copies are never compared. component_id is the smallest doc_id
-    that links of RADIUS bits or less reach, the document's own included. Null, empty and wordless texts have
+    that links of ``radius`` bits or less reach, the document's own included. Null, empty and wordless texts have
     fingerprint zero and are linked like any other. Repeated rows give repeated results, an empty table gives none,
     other columns are left aside; nothing but counts comes to the driver. A null doc_id is never the smallest, and
-    is the component_id only where no other is reachable.
+    is the component_id only where no other is reachable. ``radius`` is 1 to 6.
     """
+    if not 1 <= radius <= 6:
+        raise ValueError("radius must be 1 to 6")
     marked = checkpointed(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fp"), meeting))
+    found = components(links(nodes.select("fp"), meeting, radius))
     known = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.select("fp", "component").join(leasts, "component").select("fp", "component_id")
