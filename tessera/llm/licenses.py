@@ -1,7 +1,7 @@
 """Licence scan by sparse TF-IDF cosine, then inheritance from the nearest directory above that has a licence.
 
 Only DataFrame and SQL functions. Units of a file are its lines that speak of licences, without comment marks, its
-paragraphs of several lines that do, blocks of adjacent commented lines that do (a wrapped header), and, of a licence file,
+paragraphs of several lines that do (between blank lines, or where comments begin or end), blocks of adjacent commented lines that do (a wrapped header), and, of a licence file,
 the whole text. Units and templates are vectors of term counts times inverse document frequencies over the templates, which are
 a fixed, small table: notices, standard headers, SPDX tags, titles, and whole texts where these are short. A long licence
 is known by its title and by the notice that it ends with.
@@ -111,7 +111,8 @@ def units(text: Column, whole: Column) -> Column:
     speaks = lambda x: x.rlike(MENTIONS)
     several = lambda x: x.contains("\n")
     single = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, COMMENT, "")), speaks)
-    paragraphs = F.filter(F.split(joined, r"\x01|\n[ \t]*\n"), lambda x: speaks(x) & several(x))
+    # A text without a break is no paragraph: that would be the whole text of a file that is no licence.
+    paragraphs = F.filter(F.split(joined, r"\x01|\n[ \t]*\n"), lambda x: speaks(x) & several(x) & (x != joined))
     blocks = F.filter(F.split(joined, "\x01"), lambda x: x.startswith("\x02") & speaks(x) & several(x))
     return F.when(speaks(text) | whole, F.concat(F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")), single, paragraphs, blocks)).otherwise(F.array().cast("array<string>"))
 

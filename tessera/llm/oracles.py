@@ -76,7 +76,7 @@ files AS (
 ), units AS (
   SELECT doc_id, unnest(u) AS body, unnest(range(len(u))) AS unit FROM (SELECT doc_id, list_concat(CASE WHEN whole THEN [text] ELSE [] END,
     list_filter(list_transform(lines, lambda x: {bare("x")}), lambda x: {speaks("x")}),
-    list_filter(string_split_regex(joined, '\x01|\n[ \t]*\n'), lambda x: {speaks("x")} AND contains(x, chr(10))),
+    list_filter(string_split_regex(joined, '\x01|\n[ \t]*\n'), lambda x: {speaks("x")} AND contains(x, chr(10)) AND x <> joined),
     list_filter(string_split(joined, chr(1)), lambda x: starts_with(x, chr(2)) AND {speaks("x")} AND contains(x, chr(10)))) AS u FROM cut)
 ), terms AS (SELECT doc_id, unit, unnest(regexp_extract_all(lower(body), {quoted(TERM)})) AS term FROM units),
 weighed AS (SELECT doc_id, unit, term, count(*) * coalesce(any_value(idf), ln(1 + {len(TEMPLATES)}) + 1) AS w FROM terms LEFT JOIN idf USING (term) GROUP BY 1, 2, 3),
