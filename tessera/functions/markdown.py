@@ -19,10 +19,6 @@ PAGE_SUFFIXES = ("", ".md", ".yaml", ".yml", ".json")
 SPARQL_BLOCK = re.compile(r"<!--\s*sparql:start\s*-->\s*(?:```sparql\s*\n(.*?)```|<!--(.*?)-->)(.*?)<!--\s*sparql:end\s*-->", re.S | re.I)
 
 
-def kebab(text: str) -> str:
-    return re.sub(r"[^a-z0-9-]", "", re.sub(r"[\s-]+", "-", text.lower().strip()))
-
-
 def slug(text: str) -> str:
     """A heading's fragment name before numbering."""
     plain = re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKD", text).lower())
@@ -110,7 +106,7 @@ def links(text: str, source: str) -> list[tuple[str, str, str | None, str, int,
         if not overlaps(*m.span(), code):
             target = m[1].strip()
             fragment = (m[2] or "")[1:].strip()
-            out.append(("wiki", target, target.replace(" ", "_") and target if target else source, slug(unquote(fragment)) if fragment else "", *m.span()))
+            out.append(("wiki", target, target or source, slug(unquote(fragment)) if fragment else "", *m.span()))
     for m in MD_LINK.finditer(text):
         target, _, fragment = m[2].partition("#")
         if overlaps(*m.span(), code) or EXTERNAL.match(m[2]) or not is_page(target):

@@ -57,8 +57,8 @@ def test_headings_and_links():
     assert md.headings(text) == [(1, 1, "A `b`", "a-b"), (3, 2, "Set", "set"), (9, 2, "Dup", "dup"), (10, 2, "Dup", "dup-1")]
     found = md.links("[[a/b#C d|x]] `[[no]]` [t](../p.md#h) [e](http://x) [f](a.png) [up](../../../z.md)", "q/r/s")
     assert [(k, r, f) for k, _, r, f, *_ in found] == [("wiki", "a/b", "c-d"), ("markdown", "q/p", "h"), ("markdown", None, "")]
-    assert md.resolve("../games/./P%20x.md", "people/a") == "games/P x"
-    assert md.mentions("The Wiki CLI, b-Wiki CLI, [[x|Wiki CLI]], `wiki cli`, wiki cli", {"wiki cli": "w"}, "s") == [("Wiki CLI", "w", 1, 5, 4, 12), ("wiki cli", "w", 1, 55, 54, 62)]
+    assert md.resolve("../towns/./New%20x.md", "rivers/a") == "towns/New x"
+    assert md.mentions("The Salt Way, b-Salt Way, [[x|Salt Way]], `salt way`, salt way", {"salt way": "w"}, "s") == [("Salt Way", "w", 1, 5, 4, 12), ("salt way", "w", 1, 55, 54, 62)]
     assert md.json_path({"a": {"b": [{"c": 1}, {"c": 2}, {}]}}, ".a.b[].c") == [1, 2] and md.json_path({"a": [5]}, "a[0]") == [5]
     with pytest.raises(ValueError):
         md.json_path({}, ".a-b")
@@ -139,9 +139,9 @@ def test_edits_and_fixes(spark):
     files = spark.createDataFrame([("a.md", "one two three")], "path string, text string")
     edits = spark.createDataFrame([("a.md", 0, 3, "one", "1"), ("a.md", 4, 7, "two", "22"), ("a.md", 8, 13, "other", "x")], "path string, start int, end int, old string, new string")
     assert documents.apply_edits(files, edits).collect()[0]["text"] == "1 22 three"
-    broken = spark.createDataFrame([("s", t, t, "missing_document") for t in ("Pokemon_Rde", "old", "a b", "zzz")], "source_route string, raw_target string, target_route string, issue string")
-    routes = spark.createDataFrame([("Pokemon_Red",), ("new",), ("a_b",)], "route string")
-    assert {(r["raw_target"], r["new_route"], r["how"]) for r in documents.fix_links(broken, routes, {"old": "new"}).collect()} == {("Pokemon_Rde", "Pokemon_Red", "close"), ("old", "new", "rename"), ("a b", "a_b", "underscore")}
+    broken = spark.createDataFrame([("s", t, t, "missing_document") for t in ("Harbour_Tonw", "old", "a b", "zzz")], "source_route string, raw_target string, target_route string, issue string")
+    routes = spark.createDataFrame([("Harbour_Town",), ("new",), ("a_b",)], "route string")
+    assert {(r["raw_target"], r["new_route"], r["how"]) for r in documents.fix_links(broken, routes, {"old": "new"}).collect()} == {("Harbour_Tonw", "Harbour_Town", "close"), ("old", "new", "rename"), ("a b", "a_b", "underscore")}
 
 
 def test_configuration(tmp_path):
