@@ -297,7 +297,7 @@ class Compiler:
             # The next unit shares a variable with those before it, if any does.
             at = next((i for i, u in enumerate(units) if not seen or variables(u) & seen), 0)
             u = units.pop(at)
-            one = self.path(u[2].p, u[2].s, u[2].o, graph) if u[0] == "path" else self.source.star(u[1], u[2], graph)
+            one = self.path(u[2].p, u[2].s, u[2].o, graph) if u[0] == "path" else self.source.star(u[1], u[2], graph, rel.kinds if rel is not None else None)
             rel = one if rel is None else join(rel, one)
             seen |= variables(u)
         return rel

@@ -44,7 +44,7 @@ class Quads:
     def restricted(self, default: list[str], named: list[str]) -> Quads:
         return Quads(self.df, default, named)
 
-    def star(self, subject: Term, pairs: list[tuple[Term, Term]], graph: Term | None) -> Rel:
+    def star(self, subject: Term, pairs: list[tuple[Term, Term]], graph: Term | None, known: dict[str, Kind] | None = None) -> Rel:
         from ..plans.bindings import join
 
         out = None

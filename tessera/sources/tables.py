@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.algebra import TYPE, XSD, Iri, Literal, Term, Var
-from ..plans.bindings import BOOL, IRI, STR, Kind, Rel, Value, as_kind, constant, name, union
+from ..plans.bindings import BOOL, IRI, STR, Kind, Rel, Value, as_kind, constant, join, name, union
 
 KINDS = {"string": STR, "boolean": BOOL, "double": Kind("num", XSD + "double"), "float": Kind("num", XSD + "double"), "date": Kind("date", XSD + "date"), "timestamp": Kind("ts", XSD + "dateTime"), "timestamp_ntz": Kind("ts", XSD + "dateTime")}
 
@@ -70,10 +70,28 @@ class Tables:
         allowed = self.default_graphs if graph is None else self.named_graphs
         return [t for t in self.tables if (allowed is None or t.graph in allowed) and (not isinstance(graph, Iri) or t.graph == graph.value)]
 
-    def star(self, subject: Term, pairs: list[tuple[Term, Term]], graph: Term | None) -> Rel:
-        """Solutions of patterns with one subject: a scan for each table that has all predicates."""
+    def star(self, subject: Term, pairs: list[tuple[Term, Term]], graph: Term | None, known: dict[str, Kind] | None = None) -> Rel:
+        """Solutions of patterns with one subject: a scan for each table that has all predicates.
+
+        Tables of one template describe the same subjects, so there the predicates are looked up in each and joined.
+        ``known`` kinds of variables leave out tables and columns whose IRIs can't be among theirs.
+        """
+        known = known or {}
         found: list[Rel] = []
-        for t in self.in_scope(graph):
+        scope = [t for t in self.in_scope(graph) if not self.apart(known, subject, t.template)]
+        together: dict[str, list[Table]] = {}
+        for t in scope:
+            together.setdefault(t.template, []).append(t)
+        if len(pairs) > 1 and not isinstance(graph, Var):
+            for same in [x for x in together.values() if len(x) > 1]:
+                scope = [t for t in scope if t not in same]
+                parts = [[r for t in same if not self.unfit(t, p, o, known) and (r := self._scan(t, subject, [(p, o)], graph)) is not None] for p, o in pairs]
+                if all(parts):
+                    each = (reduce(union, rels) for rels in parts)
+                    found.append(reduce(join, (Rel(r.df.distinct(), r.kinds) for r in each)))
+        for t in scope:
+            if any(self.unfit(t, p, o, known) for p, o in pairs):
+                continue
             if all(isinstance(p, Iri) for p, _ in pairs):
                 rel = self._scan(t, subject, pairs, graph)
                 if rel is not None:
@@ -90,6 +108,17 @@ class Tables:
         columns = [F.lit(None).cast("string").alias(name(v)) for v in names]
         return Rel(self.spark.range(0).select(*columns), dict.fromkeys(names, IRI))
 
+    @staticmethod
+    def apart(known: dict[str, Kind], term: Term, template: str) -> bool:
+        """Whether a variable's IRIs are known to lie below another template."""
+        kind = known.get(term.name) if isinstance(term, Var) else None
+        return kind is not None and kind.name == "iri" and not kind.maybe and bool(kind.template) and not kind.template.startswith(template) and not template.startswith(kind.template)
+
+    def unfit(self, t: Table, predicate: Term, obj: Term, known: dict[str, Kind]) -> bool:
+        """Whether a column's IRIs are known not to be a variable's."""
+        field = t.fields.get(predicate.value) if isinstance(predicate, Iri) else None
+        return field is not None and bool(field.template) and self.apart(known, obj, field.template)
+
     def _scan(self, t: Table, subject: Term, pairs: list[tuple[Term, Term]], graph: Term | None, predicate: Var | None = None) -> Rel | None:
         filters: list[Column] = []
         bound: dict[str, Value] = {}

@@ -108,3 +108,18 @@ def test_the_corpus_checks_with_its_schemas(spark):
     schemas = spark.createDataFrame([("s.json", '{"required": ["size"]}')], "path string, text string")
     assert {r["code"] for r in c.check(schemas).collect()} == {"frontmatter_schema", "missing_layout_file"}
     assert {r["code"] for r in c.check(schemas, spark.createDataFrame([("no.html",)], "path string")).collect()} == {"frontmatter_schema"}
+
+
+def test_two_tables_about_the_same_subjects(spark):
+    from tessera.plans.compiler import Compiler
+    from tessera.sources.tables import Field, Table, Tables
+
+    e = "http://e/"
+    one = Table(spark.createDataFrame([(1, "a"), (2, "b")], "k long, name string"), "k", e + "x/", e + "X", e + "g1", {e + "name": Field("name")})
+    two = Table(spark.createDataFrame([(2, 20), (3, 30)], "k long, size long"), "k", e + "x/", e + "X", e + "g2", {e + "size": Field("size")})
+    other = Table(spark.createDataFrame([(2, "z")], "k long, name string"), "k", e + "y/", e + "Y", e + "g3", {e + "name": Field("name")})
+    ask = lambda q: sorted(tuple(r) for r in Compiler(spark, Tables(spark, [one, two, other]), {"e": e}, e).query(q).df.collect())
+    assert ask("SELECT ?n ?s WHERE { ?x e:name ?n ; e:size ?s }") == [("b", 20)]
+    assert ask("SELECT ?n WHERE { ?x a e:X ; e:name ?n ; e:size 20 }") == [("b",)]
+    assert ask("SELECT ?n WHERE { ?x e:size ?s . ?x e:name ?n }") == [("b",)]
+    assert len(ask("SELECT ?x ?n WHERE { ?x e:name ?n }")) == 3
