@@ -154,7 +154,11 @@ def base_failed(view: View, min_words: int, most_repeated: int) -> bool:
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, *, min_words: int = 50, most_repeated: int = 50, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that ``judge`` keeps."""
+    """The rows, with all their columns, that ``judge`` keeps.
+
+    A null text counts as empty and goes, unless ``min_words`` is 0; rows with one text stay or go together, whatever their ids; an empty
+    table gives none; a column of ``docs`` named like a measure is left as it is. Ties between rules in the cascade can't change a verdict.
+    """
     order = ordered(measured(docs, rules, sample_rows, id_col=id_col, text_col=text_col), rules)
 
     def keeps(texts: Iterator[str]) -> Iterator[bool]:
