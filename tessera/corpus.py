@@ -112,18 +112,32 @@ class Corpus:
         return documents.render_blocks(self.documents, tables)
 
     def export_documents(self, fmt: str = "nquads") -> DataFrame:
-        """(route, text): each document's own statements, as sorted lines of N-Quads or N-Triples."""
-        graph, config, apart = self.config.base_iri.rstrip("/") + "/graphs/root", self.config, results.format_name(fmt) == "nquads"
+        """(route, text): each document's own statements in a format of triples or quads, written where the document is read."""
+        graph, config, fmt = self.config.base_iri.rstrip("/") + "/graphs/root", self.config, results.format_name(fmt)
         quads = source.flat_map(
             self.documents.select("path", "suffix", "text"), "route string, g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string",
             lambda path, suffix, text: [(source.frontmatter.route_of(path), *q) for q in source.file_quads(path, suffix, text, graph, config)[0]],
-        )
-        lines = quads.select("route", results.line_column(graph=apart).alias("line")).distinct()
-        return lines.groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+        ).distinct()
+        if fmt in ("nt", "nquads"):
+            lines = quads.select("route", results.line_column(graph=fmt == "nquads").alias("line")).distinct()
+            return lines.groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+        write = {"turtle": results.turtle_rows, "trig": results.trig_rows, "xml": results.xml_rows, "json-ld": results.json_ld_rows}[fmt]
+        # A group is what one document says.
+        rows = quads.groupBy("route").agg(F.collect_list(F.struct(*quads.columns[1:])).alias("rows"))
+        return source.flat_map(rows, "route string, text string", lambda route, found: [(route, write(found, config.namespaces))])
+
+    def write(self, path: str, fmt: str = "nquads", inference: bool = False) -> None:
+        """All statements as N-Triples or N-Quads files, a part per partition, without a way through the driver."""
+        fmt = results.format_name(fmt)
+        if fmt not in ("nt", "nquads"):
+            raise ValueError("only formats of a line per statement are written in parts")
+        results.write_lines(self.dataset(inference) if fmt == "nquads" else self.graph(inference), path, graph=fmt == "nquads")
 
     def export(self, fmt: str = "json-ld", inference: bool = False) -> str:
         triples = self.graph(inference)
         fmt = results.format_name(fmt)
         if fmt in ("nt", "nquads"):
             return "\n".join(sorted(r["line"] for r in triples.select(results.line_column().alias("line")).collect()))
-        return results.json_ld(triples, self.config.namespaces) if fmt == "json-ld" else results.turtle(triples, self.config.namespaces)
+        if fmt == "trig":
+            return results.trig_rows(self.dataset(inference).collect(), self.config.namespaces)
+        return {"json-ld": results.json_ld_rows, "xml": results.xml_rows}.get(fmt, results.turtle_rows)(triples.collect(), self.config.namespaces)

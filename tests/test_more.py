@@ -123,3 +123,22 @@ def test_two_tables_about_the_same_subjects(spark):
     assert ask("SELECT ?n WHERE { ?x a e:X ; e:name ?n ; e:size 20 }") == [("b",)]
     assert ask("SELECT ?n WHERE { ?x e:size ?s . ?x e:name ?n }") == [("b",)]
     assert len(ask("SELECT ?x ?n WHERE { ?x e:name ?n }")) == 3
+
+
+@pytest.mark.parametrize(("fmt", "suffix"), [("turtle", ".ttl"), ("n3", ".ttl"), ("trig", ".trig"), ("xml", ".rdf"), ("json-ld", ".jsonld"), ("nquads", ".nq"), ("nt", ".nt")])
+def test_exports_read_back(spark, fmt, suffix, tmp_path):
+    from tessera.sources import corpus as source
+
+    text = "---\ntype: Book\nname: \"A <b> & \\\"c\\\"\\nline\"\nsize: 5\nok: true\nday: 2020-01-02\nlink: https://e/x?a=1&b=2\npart: {type: Page, n: 1}\n---\n"
+    files = spark.createDataFrame([("d/a.md", ".md", text), ("b.md", ".md", text.replace("Book", "Film"))], "path string, suffix string, text string")
+    c = Corpus(spark, files, C)
+    written = {r["route"]: r["text"] for r in c.export_documents(fmt).collect()}
+    assert written.keys() == {"d/a", "b"}
+    back = spark.createDataFrame([(f"{k.replace('/', '-')}{suffix}", suffix, v) for k, v in written.items()], "path string, suffix string, text string")
+    plain = lambda df: sorted((r["p"], r["o"] if r["o_kind"] != "bnode" else "", r["o_kind"], r["o_dt"]) for r in df.collect())
+    assert plain(source.quads(back, C)) == plain(source.quads(files, C))
+    if suffix in (".nq", ".nt"):
+        c.write(str(tmp_path / "out"), fmt)
+        assert spark.read.text(str(tmp_path / "out")).count() == len(plain(source.quads(files, C)))
+    else:
+        assert len(c.export(fmt)) > 100
