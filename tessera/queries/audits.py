@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..operators import audits, documents, shacl
+from ..operators import pages as site
 from .mapping import table
-from .texts import CONFIG, SCHEMA, WIKI, lines, nation_pages, odd_path, suggestion_pages
+from .texts import CONFIG, SCHEMA, WIKI, lines, nation_pages, odd_path, suggestion_pages, wiki
 
 FOLDERS = ["assets"]
 SCHEMA_TEXT = '{"type": "object", "required": ["name"], "properties": {"key": {"type": "integer", "maximum": 1000}}}'
@@ -110,6 +111,27 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Corpus(spark, nation_pages(spark, sf_dir), CONFIG).export_documents("nquads")
 
 
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with three headings, one too deep to cut, and pages without any."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    text = F.when(key % 3 == 0, lines("plain ", key, "\nmore")).otherwise(lines("before\n# One ", key, "\na\n### Deep\nb\n## Two\n", F.col("n_name")))
+    return site.sections(n.select(lines("n", key, ".md").alias("path"), text.alias("text")))
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    template = "<title>%wiki.title%</title>%wiki.title.long% %wiki.none%"
+    return n.select("n_nationkey", site.filled(template, {"%wiki.title%": F.col("n_name"), "%wiki.title.long%": lines("Nation ", F.col("n_name"))}).alias("page"), F.array_join(site.unknown_tokens(F.lit(template), ["%wiki.title%", "%wiki.title.long%"]), ",").alias("unknown"))
+
+
+def remaining_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages(spark, sf_dir).select("path", lines(F.col("text"), "[a](gone/a.md) [[gone/b]]\n").alias("text")).where(F.col("path").startswith("customers/"))
+    broken = documents.broken_links(documents.links(found), found.select(documents.route(F.col("path")).alias("route")), documents.headings(found).select("route", "slug"))
+    fixes = broken.where("raw_target = 'gone/b'").select("source_route", "raw_target")
+    return site.remaining(broken, fixes).select("source_route", "raw_target", "issue")
+
+
 ROUTE = "concat('customers/', c_custkey)"
 PICTURE = "concat('../assets/c', c_custkey % 10, '.png')"
 GONE = "FROM customer WHERE c_custkey % 7 = 0"
@@ -153,6 +175,23 @@ ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         fix_edits,
         "SELECT concat('pages/p', k, '.md') AS path, concat('---', chr(10), 'name: x', chr(10), '---', chr(10), 'See [[new/n', k, '#top|it]] and [that](../new/n', k, '.md#part), not [far](http://e.org/old/', k, '.md).', chr(10)) AS text FROM (SELECT n_nationkey AS k FROM nation)",
     ),
+    "page_categories": (
+        lambda s, d: site.categories(pages(s, d)),
+        f"SELECT {ROUTE} AS route, 0 AS position, CASE WHEN c_custkey % 11 = 0 THEN 'none' ELSE 'page' END AS category FROM customer UNION ALL SELECT {ROUTE}, 1, 'Customer' FROM customer UNION ALL SELECT concat('nations/', n_nationkey), 0, 'Nation' FROM nation UNION ALL SELECT 'bindings/' || unnest(['customer', 'nation']), 0, 'Binding'",
+    ),
+    "page_ids": (lambda s, d: site.identifiers(nation_pages(s, d), CONFIG), f"SELECT concat('nations/', n_nationkey) AS route, 0 AS position, concat('{WIKI}nations/', n_nationkey) AS id FROM nation"),
+    "page_sections": (
+        page_sections,
+        "SELECT concat('n', n_nationkey) AS route, s.n AS section, s.l AS level, s.t AS title, s.x AS text FROM nation, LATERAL (VALUES (0, 1, '', concat('plain ', n_nationkey, chr(10), 'more')), (1, 1, concat('One ', n_nationkey), concat('# One ', n_nationkey, chr(10), 'a', chr(10), '### Deep', chr(10), 'b')), (2, 2, 'Two', concat('## Two', chr(10), n_name))) s(n, l, t, x) WHERE (n_nationkey % 3 = 0) = (s.n = 0)",
+    ),
+    "titled_backlinks": (
+        lambda s, d: site.titled_backlinks(documents.links(wiki(s, d)).where(F.startswith("target_route", F.lit("nations/"))), documents.titles(wiki(s, d))),
+        "SELECT concat('nations/', c_nationkey) AS route, concat('customers/', c_custkey) AS source_route, c_name AS title FROM customer",
+    ),
+    "layouts": (layouts, "SELECT n_nationkey, concat('<title>', n_name, '</title>Nation ', n_name, ' %wiki.none%') AS page, '%wiki.none%' AS unknown FROM nation"),
+    "remaining_links": (remaining_links, f"SELECT {ROUTE} AS source_route, 'gone/a.md' AS raw_target, 'missing_document' AS issue FROM customer"),
+    "route_slugs": (lambda s, d: table(s, d, "customer").select("c_custkey", site.route_slug(lines("Ünder Way!/", F.col("c_name"), "/--")).alias("slug")), "SELECT c_custkey, concat('under-way/', lower(regexp_replace(c_name, '[^A-Za-z0-9_-]', '', 'g')), '/section') AS slug FROM customer"),
+    "build_counts": (lambda s, d: site.build_counts(pages(s, d), others(s)), "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + 2 AS pages, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + 2 AS routes, 7 AS assets"),
     "export_documents": (
         export_documents,
         f"SELECT concat('nations/', n_nationkey) AS route, array_to_string(list_sort([{NQUAD} || 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{SCHEMA}Nation> <{WIKI}graphs/root> .', {NQUAD} || '{SCHEMA}name> \"' || n_name || '\" <{WIKI}graphs/root> .', {NQUAD} || '{SCHEMA}region> <{WIKI}regions/' || n_regionkey || '> <{WIKI}graphs/root> .']), chr(10)) AS text FROM nation",

@@ -142,3 +142,20 @@ def test_exports_read_back(spark, fmt, suffix, tmp_path):
         assert spark.read.text(str(tmp_path / "out")).count() == len(plain(source.quads(files, C)))
     else:
         assert len(c.export(fmt)) > 100
+
+
+def test_chosen_files_and_shown_blocks(spark):
+    from tessera.operators import pages
+
+    files = spark.createDataFrame([("a.md", "x"), ("b.yaml", "y"), ("c.txt", "z")], "path string, text string")
+    assert [r["path"] for r in pages.chosen(files, ["b.yaml", "a.md", "b.yaml"]).collect()] == ["b.yaml", "a.md"]
+    with pytest.raises(FileNotFoundError, match="no.md"):
+        pages.chosen(files, ["a.md", "no.md"])
+    with pytest.raises(ValueError, match="c.txt"):
+        pages.chosen(files, ["c.txt"])
+    block = "<!-- sparql:start -->\n```sparql\nQ\n```\n\n| t |\n\n<!-- sparql:end -->"
+    assert pages.without_wrappers(f"a\n{block}\nb") == "a\n```sparql\nQ\n```\n\n| t |\n\nb"
+    assert pages.without_wrappers("<!-- sparql:start -->\n<!-- Q -->\n\n| t |\n\n<!-- sparql:end -->") == "| t |\n"
+    assert [r["category"] for r in pages.categories(spark.createDataFrame([("p.md", "---\ntype: [ex:Book, book, Film]\nlayout: l/Default2.html\n---\n")], "path string, text string")).collect()] == ["Default2", "Book", "Film"]
+    ids = pages.identifiers(spark.createDataFrame([("p.md", "---\nid: wiki:q\n'@id': urn:x:1\n---\n")], "path string, text string"), C)
+    assert [r["id"] for r in ids.collect()] == ["urn:x:1", "wiki:q", "http://w/q", "http://w/p"]
