@@ -64,10 +64,10 @@ BARRIERS = ("button", "table", "td", "th", "caption", "object")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "slot", "digest")
+    __slots__ = ("tag", "attrs", "children", "parent", "slot", "digest", "length")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None = None) -> None:
-        self.tag, self.attrs, self.children, self.parent, self.slot, self.digest = tag, attrs, [], parent, 0, 0
+        self.tag, self.attrs, self.children, self.parent, self.slot, self.digest, self.length = tag, attrs, [], parent, 0, 0, 0
 
     def attributes(self) -> dict[str, str]:
         return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(self.attrs)}
@@ -160,7 +160,7 @@ def digest_of(*parts: str) -> int:
 
 
 def described(root: Node) -> None:
-    """Gives each element its slot and its content's hash."""
+    """Gives each element its slot, its content's hash and the length of its text."""
     todo = [(root, iter(root.children), [])]
     while todo:
         top, rest, parts = todo[-1]
@@ -169,6 +169,7 @@ def described(root: Node) -> None:
                 text = " ".join(child.split())
                 if text:
                     parts.append(text)
+                    top.length += len(text)
             elif child.tag not in NO_SCREEN:
                 names = child.attributes().get("class", "").lower().split() if "class" in child.attrs.lower() else ()
                 child.slot = digest_of(f"{top.slot:x}", child.tag, *sorted(n for n in names if not VOLATILE.search(n)))
@@ -180,6 +181,7 @@ def described(root: Node) -> None:
             top.digest = digest_of(*parts) if parts else 0
             if todo and parts:
                 todo[-1][2].append(f"{top.digest:x}")
+                todo[-1][0].length += top.length
 
 
 def elements(node: Node) -> Iterator[Node]:
@@ -273,7 +275,7 @@ def scope_of(root: Node, trust_markup: bool) -> Node:
 def subtrees(page: str, trust_markup: bool = True) -> tuple[int, list[tuple[int, int]]]:
     """A hash of the page's article, and slot and content of all that may be a template: never the article or what holds it.
 
-    The text blocks of a marked article are no templates either. A slot that stands several times on a page has one content.
+    The text blocks of a marked article, and what holds half of its text or more, are no templates either. A slot that stands several times on a page has one content.
     """
     root = parse(page)
     described(root)
@@ -290,7 +292,7 @@ def subtrees(page: str, trust_markup: bool = True) -> tuple[int, list[tuple[int,
         for child in reversed(top.children):
             if isinstance(child, Node) and child.tag not in NO_SCREEN and child.digest:
                 within = inside or child is article
-                if child.tag not in INLINE and child.tag != "body" and id(child) not in above and not (within and child.tag in TEXT_BLOCKS):
+                if child.tag not in INLINE and child.tag != "body" and id(child) not in above and not (within and (child.tag in TEXT_BLOCKS or 2 * child.length >= article.length)):
                     found.setdefault(child.slot, []).append(f"{child.digest:x}")
                 todo.append((child, within))
     return article.digest, [(slot, digest_of(*contents)) for slot, contents in sorted(found.items())]

@@ -50,9 +50,9 @@ def test_menus_with_an_active_entry_are_one_template(spark):
 
 
 def test_rows_without_an_id_have_their_host_s_templates(spark):
-    rows = [(None if i % 2 else 7, "http://h/x", f"<div class=box>Box</div><article><div>Inner box</div><p>Story {i}</p></article>") for i in range(12)]
+    rows = [(None if i % 2 else 7, "http://h/x", f"<div class=box>Box</div><article><div>Inner box</div><p>Story {i} is longer</p></article>") for i in range(12)]
     found = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert sorted(r["text"] for r in html.extract(found).collect()) == sorted(f"Story {i}" for i in range(12))
+    assert sorted(r["text"] for r in html.extract(found).collect()) == sorted(f"Story {i} is longer" for i in range(12))
 
 
 def test_many_slots_are_joined_by_host(spark, pages, monkeypatch):
@@ -78,3 +78,12 @@ def test_time_grows_with_length_alone(page):
 
     seconds(2_000)
     assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
+def test_the_bulk_of_an_article_is_no_template(spark):
+    """One body under many headings: the articles differ, but their body is no part of the site's template."""
+    body = "<div class=content>" + "The same long story stands here. " * 9 + "</div>"
+    rows = [(i, "http://h/x", f"<nav>Menu</nav><article><h1>Title {i}</h1>{body}<div class=x>Box</div></article>") for i in range(12)]
+    found = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(found).collect()}
+    assert got == {i: f"Title {i}\n" + ("The same long story stands here. " * 9).strip() for i in range(12)}
