@@ -145,16 +145,27 @@ class Chain:
     threshold: float
 
 
-def fit_chain(features: Sequence[dict[int, float] | Sequence[int]], labels: np.ndarray, folds: int = FOLDS, fold: np.ndarray | None = None) -> Chain:
+Features = dict[int, float] | Sequence[int] | tuple[np.ndarray, np.ndarray]
+
+
+def arrays_of(features: Features) -> tuple[np.ndarray, np.ndarray]:
+    """Features' numbers and values; those without values count as ones."""
+    if isinstance(features, tuple):
+        return features
+    ids = np.fromiter(features, np.int32, len(features))
+    return ids, np.fromiter(features.values(), np.float64, len(features)) if isinstance(features, dict) else np.ones(len(features))
+
+
+def fit_chain(features: Sequence[Features], labels: np.ndarray, folds: int = FOLDS, fold: np.ndarray | None = None) -> Chain:
     """One model per column of ``labels``, each fed with out-of-fold predictions of those before it.
 
-    ``fold`` is each row's fold, by default dealt in turn. Features without values count as ones.
+    ``fold`` is each row's fold, by default dealt in turn.
     """
     n = len(features)
-    valued = [f if isinstance(f, dict) else dict.fromkeys(f, 1.0) for f in features]
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in valued])
-    ids = np.fromiter((k for f in valued for k in f), np.int32, len(rows))
-    values = np.fromiter((v for f in valued for v in f.values()), np.float64, len(rows))
+    valued = [arrays_of(f) for f in features]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(ids) for ids, _ in valued])
+    ids = np.concatenate([ids for ids, _ in valued]) if n else np.zeros(0, np.int32)
+    values = np.concatenate([values for _, values in valued]) if n else np.zeros(0)
     fold = np.arange(n) % folds if fold is None else fold
     chain = np.zeros((n, 0))
     models = []
@@ -284,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, trai
 
     found = arrow_rows(rows, f"doc_id long, features binary, values binary, fold int, {kinds}", narrowed).collect()
     found.sort(key=lambda r: r["doc_id"])
-    features = [dict(zip(np.frombuffer(r["features"], "<i4").tolist(), np.frombuffer(r["values"], "<f8").tolist(), strict=True)) for r in found]
+    features = [(np.frombuffer(r["features"], "<i4"), np.frombuffer(r["values"], "<f8")) for r in found]
     return fit_chain(features, np.array([[r[c] for c in columns] for r in found], dtype=float).reshape(len(found), len(columns)), fold=np.array([r["fold"] for r in found], np.int64))
 
 
