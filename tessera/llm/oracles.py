@@ -95,3 +95,57 @@ SELECT doc_id, path, coalesce(license, from_license) AS license, coalesce(cosine
   CASE WHEN license IS NULL AND from_license IS NOT NULL THEN up END AS from_dir
 FROM known LEFT JOIN nearest USING (dir)
 """
+
+#: Words of the resampling and contamination queries: A-Z lower-cased, characters from 128 on part of words.
+PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+RESAMPLING = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+dw AS MATERIALIZED (SELECT r, unnest(w) AS word FROM d), bw AS MATERIALIZED (SELECT unnest({PLAIN_WORDS}) AS word FROM benchmark),
+t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+codes AS (SELECT word, t, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM (SELECT word FROM dw UNION SELECT word FROM bw), t),
+words AS MATERIALIZED (SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM codes),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN words USING (word) GROUP BY 1), b AS (SELECT bucket, count(*) AS n FROM bw JOIN words USING (word) GROUP BY 1),
+sizes AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM bw) AS t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(b.n, 0) + 1 AS DOUBLE) * (sizes.s + 10000) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * (sizes.t + 10000)))) AS BIGINT) AS gain FROM (SELECT DISTINCT bucket FROM words) LEFT JOIN s USING (bucket) LEFT JOIN b USING (bucket), sizes),
+sums AS (SELECT r, CAST(sum(gain) AS BIGINT) AS g, count(*) AS n FROM dw JOIN words USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM d LEFT JOIN sums USING (r)
+), noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(CAST(u AS DOUBLE)))) AS BIGINT) AS score FROM scored),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER () AS all_of FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * all_of // 100 THEN k END AS rank FROM noisy LEFT JOIN drawn USING (r)
+"""
+
+CONTAMINATION = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {PLAIN_WORDS} AS w FROM benchmark),
+iw AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+m AS MATERIALIZED (SELECT r, i, n, item FROM dw JOIN iw USING (n, s)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round as two tables: the parts with their nearest entries, and the entries moved to the floored means."""
+    steps = []
+    nearest = f"""(SELECT vec_id, label, part, piece, min(({entries} * list_sum(list_transform(range(1, len(piece) + 1), lambda i: (piece[i] - center[i]) * (piece[i] - center[i]))) + entry)) AS best
+      FROM p JOIN b{{n}} USING (part) GROUP BY ALL)"""
+    for n in range(rounds):
+        steps.append(f"""a{n} AS MATERIALIZED {nearest.format(n=n)},
+m{n} AS (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS center FROM (
+  SELECT part, best % {entries} AS entry, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM (SELECT part, best, unnest(piece) AS x, unnest(range(len(piece))) AS i FROM a{n}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{n}.center, b{n}.center) AS center FROM b{n} LEFT JOIN m{n} USING (part, entry))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x) AS BIGINT)) AS vec FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, vec[part * (len(vec) // {parts}) + 1 : (part + 1) * (len(vec) // {parts})] AS piece FROM v, range({parts}) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, piece AS center FROM p QUALIFY entry < {entries}),
+{", ".join(steps)},
+codes AS MATERIALIZED (SELECT vec_id, label, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM {nearest.format(n=rounds)} GROUP BY 1, 2),
+books AS (SELECT sha256(string_agg(array_to_string(center, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, books
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, licenses, media, oracles, packing, quality, simhash, substrings, token_counts, toxicity
+from . import bpe, decontamination, html, licenses, media, oracles, packing, quality, resampling, simhash, substrings, token_counts, toxicity, vectors
 from .common import table
 
 #: The tokenizers' files, a parameter of the operators.
@@ -69,6 +69,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), substrings.digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectors.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vectors.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -80,9 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_decontamination": op12_decontamination,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY,
     "op9_license_scan": oracles.licenses_sql(),
     "op10_suffix_array_dedup": oracles.REPEATS,
+    "op11_target_resampling": oracles.RESAMPLING,
+    "op12_decontamination": oracles.CONTAMINATION,
+    "op13_vector_codes": oracles.vector_codes_sql(),
 }
