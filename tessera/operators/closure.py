@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .cycles import strong_components
+from .lineage import cut, stored
 
 
 def transitive(edges: DataFrame, keys: Sequence[str] = (), start: DataFrame | None = None) -> DataFrame:
@@ -34,11 +35,38 @@ def transitive(edges: DataFrame, keys: Sequence[str] = (), start: DataFrame | No
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """The nodes (x) that reach themselves."""
-    return transitive(edges).where(F.col("x") == F.col("y")).select("x").distinct()
+    """The nodes (x) that reach themselves, by components instead of pairs."""
+    return strong_components(edges).select(F.col("node").alias("x"))
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x): the roots and all that edges (x, y) lead them to.
+
+    Steps double along nodes with one way out, so a long chain takes a number of rounds that grows with its logarithm; where
+    ways part, each round takes one step. Only nodes are kept, no pairs.
+    """
+    edges = stored(edges.select("x", "y").distinct(), "edges")
+    single = stored(edges.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("next")).where("n = 1").select("x", "next"), "single")
+    jumps, most = [single], single.count()
+    while 2 ** (len(jumps) - 1) < most:
+        ahead = jumps[-1].select(F.col("x").alias("next"), F.col("next").alias("far"))
+        step = stored(jumps[-1].join(ahead, "next").select("x", F.col("far").alias("next")), "jumps")
+        if step.isEmpty():
+            break
+        jumps.append(step)
+    found = stored(roots.select("x").distinct(), "reached")
+    new = found
+    while True:
+        # All nodes on the ways that begin at the new ones: from the longest jumps to the shortest, each doubles what was found.
+        ahead = new.join(edges, "x").select(F.col("y").alias("x")).distinct()
+        for jump in reversed(jumps):
+            ahead = stored(ahead.unionByName(ahead.join(jump, "x").select(F.col("next").alias("x"))).distinct(), "ahead")
+        new = stored(ahead.join(found, "x", "left_anti"), "reached")
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
 
 
 def orphans(nodes: DataFrame, required_by: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (x) that no root (x) leads to, given (x needs y) edges: what a cascade of removals takes away."""
-    reached = transitive(required_by, start=roots).select(F.col("y").alias("x")).unionByName(roots.select("x")).distinct()
-    return nodes.select("x").distinct().join(reached, "x", "left_anti")
+    return nodes.select("x").distinct().join(reached(required_by, roots), "x", "left_anti")

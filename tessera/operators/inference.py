@@ -1,163 +1,156 @@
-"""RDFS and core OWL-RL entailment by semi-naive forward chaining over a quad table."""
+"""RDFS and OWL 2 RL entailment by semi-naive forward chaining over a quad table.
+
+Equal things are one: facts are kept on the least name of each class of equals, the representative, and other names come back only where
+results are expanded. So a class of a thousand names costs a thousand rows, not a million, and the rounds don't depend on its size. What is
+known is a table for each round, written once; a round reads all of them and writes what is new.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.algebra import OWL, RDF, RDFS, TYPE
-from .closure import transitive
-from .lineage import cut
-
-SAME = OWL + "sameAs"
-SCHEMA_PREDICATES = [RDFS + p for p in ("subClassOf", "subPropertyOf", "domain", "range")] + [OWL + p for p in ("equivalentClass", "equivalentProperty", "inverseOf", "hasValue", "someValuesFrom", "allValuesFrom", "onProperty", "intersectionOf", "unionOf", "propertyChainAxiom")]
-PROPERTY_TYPES = [OWL + p for p in ("SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty")]
-FACT = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
-
-
-class Rules:
-    """The schema part of the rules, closed once; rules without schema statements are left out of every round."""
-
-    def __init__(self, quads: DataFrame, keys: list[str]) -> None:
-        self.keys = keys
-        wanted = F.col("p").isin(SCHEMA_PREDICATES) | ((F.col("p") == TYPE) & F.col("o").isin(PROPERTY_TYPES))
-        self.schema = cut(quads.where(wanted).select(*keys, *FACT).distinct())
-        # Bounded by the fixed lists above.
-        self.present = {r[0] for r in self.schema.select(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p"))).distinct().collect()}
-        self.sub_class = self.closed(RDFS + "subClassOf", OWL + "equivalentClass")
-        self.sub_property = self.closed(RDFS + "subPropertyOf", OWL + "equivalentProperty")
-
-    def pairs(self, p: str) -> DataFrame:
-        return self.schema.where(F.col("p") == p).select(*self.keys, F.col("s").alias("x"), F.col("o").alias("y"))
-
-    def closed(self, below: str, same: str) -> DataFrame | None:
-        edges = []
-        if below in self.present:
-            edges.append(self.pairs(below))
-        if same in self.present:
-            edges += [self.pairs(same), self.pairs(same).select(*self.keys, F.col("y").alias("x"), F.col("x").alias("y"))]
-        if same == OWL + "equivalentClass":
-            for p in (OWL + "intersectionOf", OWL + "unionOf"):
-                if p in self.present:
-                    members = self.members(p)
-                    edges.append(members if p.endswith("intersectionOf") else members.select(*self.keys, F.col("y").alias("x"), F.col("x").alias("y")))
-        return transitive(reduce(DataFrame.unionByName, edges), self.keys) if edges else None
-
-    def members(self, p: str) -> DataFrame:
-        """(class, member) of the lists that a predicate points to."""
-        rest = transitive(self.lists.where(F.col("p") == RDF + "rest").select(*self.keys, F.col("s").alias("x"), F.col("o").alias("y")), self.keys)
-        cells = rest.unionByName(rest.select(*self.keys, "x").distinct().select(*self.keys, "x", F.col("x").alias("y")))
-        heads = self.pairs(p).select(*self.keys, F.col("x").alias("class"), F.col("y").alias("x"))
-        first = self.lists.where(F.col("p") == RDF + "first").select(*self.keys, F.col("s").alias("y"), F.col("o").alias("member"))
-        return heads.join(cells, [*self.keys, "x"]).join(first, [*self.keys, "y"]).select(*self.keys, F.col("class").alias("x"), F.col("member").alias("y"))
-
-    lists: DataFrame
-
-    def marked(self, kind: str) -> DataFrame:
-        """Properties of a type, as column p."""
-        return self.schema.where((F.col("p") == TYPE) & (F.col("o") == OWL + kind)).select(*self.keys, F.col("s").alias("p"))
-
-    def restrictions(self, what: str) -> DataFrame:
-        on = self.pairs(OWL + "onProperty").select(*self.keys, F.col("x").alias("class"), F.col("y").alias("p"))
-        value = self.schema.where(F.col("p") == OWL + what).select(*self.keys, F.col("s").alias("class"), F.col("o").alias("v"), F.col("o_kind").alias("v_kind"), F.col("o_dt").alias("v_dt"), F.col("o_lang").alias("v_lang"))
-        return on.join(value, [*self.keys, "class"])
-
-    def apply(self, new: DataFrame, known: DataFrame) -> list[DataFrame]:
-        """What follows from new facts, by each rule with schema statements."""
-        k, have = self.keys, self.present
-        typed = lambda c, kind="s_kind", at="s": [F.col(at).alias("s"), F.col(kind).alias("s_kind"), F.lit(TYPE).alias("p"), c.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
-        turned = [F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), "p", F.col("s").alias("o"), F.col("s_kind").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")]
-        node = F.col("o_kind") != "literal"
-        out = []
-        if self.sub_class is not None:
-            up = self.sub_class.select(*k, F.col("x").alias("o"), F.col("y").alias("up"))
-            out.append(new.where(F.col("p") == TYPE).join(up, [*k, "o"]).select(*k, *typed(F.col("up"))))
-        if self.sub_property is not None:
-            up = self.sub_property.select(*k, F.col("x").alias("p"), F.col("y").alias("up"))
-            out.append(new.join(up, [*k, "p"]).select(*k, "s", "s_kind", F.col("up").alias("p"), "o", "o_kind", "o_dt", "o_lang"))
-        for p, at, kind in ((RDFS + "domain", "s", "s_kind"), (RDFS + "range", "o", "o_kind")):
-            if p in have:
-                of = self.pairs(p).select(*k, F.col("x").alias("p"), F.col("y").alias("class"))
-                found = new.join(of, [*k, "p"])
-                out.append((found.where(node) if at == "o" else found).select(*k, *typed(F.col("class"), kind, at)))
-        if OWL + "inverseOf" in have:
-            inverse = self.pairs(OWL + "inverseOf").select(*k, F.col("x").alias("p"), F.col("y").alias("q"))
-            inverse = inverse.unionByName(inverse.select(*k, F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
-            out.append(new.where(node).join(inverse, [*k, "p"]).select(*k, *[F.col("q").alias("p") if isinstance(c, str) else c for c in turned]))
-        if OWL + "SymmetricProperty" in have:
-            out.append(new.where(node).join(self.marked("SymmetricProperty"), [*k, "p"]).select(*k, *turned))
-        if OWL + "TransitiveProperty" in have:
-            marked = self.marked("TransitiveProperty")
-            a, b = new.join(marked, [*k, "p"], "left_semi"), known.join(marked, [*k, "p"], "left_semi")
-            for left, right in ((a, b), (b, a)):
-                step = right.select(*k, "p", F.col("s").alias("m"), F.col("o").alias("end"), F.col("o_kind").alias("end_kind"), F.col("o_dt").alias("end_dt"), F.col("o_lang").alias("end_lang"))
-                out.append(left.where(node).withColumnRenamed("o", "m").join(step, [*k, "p", "m"]).select(*k, "s", "s_kind", "p", F.col("end").alias("o"), F.col("end_kind").alias("o_kind"), F.col("end_dt").alias("o_dt"), F.col("end_lang").alias("o_lang")))
-        for kind, shared, other in (("FunctionalProperty", "s", "o"), ("InverseFunctionalProperty", "o", "s")):
-            if OWL + kind in have:
-                facts = known.where(node).join(self.marked(kind), [*k, "p"], "left_semi").select(*k, "p", F.col(shared).alias("of"), F.col(other).alias("x"), F.col(f"{other}_kind").alias("x_kind"))
-                # All values of one subject equal the least of them: a star, not all pairs.
-                least = facts.groupBy(*k, "p", "of").agg(F.min(F.struct("x", "x_kind")).alias("l"))
-                found = facts.join(least, [*k, "p", "of"]).where(F.col("x") != F.col("l.x"))
-                out.append(found.select(*k, F.col("x").alias("s"), F.col("x_kind").alias("s_kind"), F.lit(SAME).alias("p"), F.col("l.x").alias("o"), F.col("l.x_kind").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang")))
-        if OWL + "hasValue" in have:
-            r = self.restrictions("hasValue")
-            out.append(new.where(F.col("p") == TYPE).select(*k, "s", "s_kind", F.col("o").alias("class")).join(r, [*k, "class"]).select(*k, "s", "s_kind", "p", F.col("v").alias("o"), F.col("v_kind").alias("o_kind"), F.col("v_dt").alias("o_dt"), F.col("v_lang").alias("o_lang")))
-            out.append(new.join(r, [*k, "p"]).where((F.col("o") == F.col("v")) & (F.col("o_kind") == F.col("v_kind"))).select(*k, *typed(F.col("class"))))
-        for what in ("someValuesFrom", "allValuesFrom"):
-            if OWL + what in have:
-                r = self.restrictions(what)
-                types = known.where(F.col("p") == TYPE)
-                if what == "someValuesFrom":
-                    inner = types.select(*k, F.col("s").alias("o"), F.col("o").alias("v"))
-                    out.append(known.where(node).join(r, [*k, "p"]).join(inner, [*k, "o", "v"], "left_semi").select(*k, *typed(F.col("class"))))
-                else:
-                    inner = types.select(*k, "s", F.col("o").alias("class"))
-                    out.append(known.where(node).join(r, [*k, "p"]).join(inner, [*k, "s", "class"], "left_semi").select(*k, *typed(F.col("v"), "o_kind", "o")))
-        return out
-
-    def equalities(self, new: DataFrame, known: DataFrame) -> list[DataFrame]:
-        """Symmetry, transitivity and replacement of sameAs."""
-        k = self.keys
-        same = known.where(F.col("p") == SAME)
-        if same.isEmpty():
-            return []
-        edges = same.select(*k, F.col("s").alias("x"), F.col("o").alias("y"))
-        whole = transitive(edges.unionByName(edges.select(*k, F.col("y").alias("x"), F.col("x").alias("y"))), k).where(F.col("x") != F.col("y"))
-        kinds = same.select(*k, F.col("s").alias("y"), F.col("s_kind").alias("y_kind")).unionByName(same.select(*k, F.col("o").alias("y"), F.col("o_kind").alias("y_kind"))).distinct()
-        whole = whole.join(kinds, [*k, "y"])
-        out = [whole.select(*k, F.col("x").alias("s"), F.lit("iri").alias("s_kind"), F.lit(SAME).alias("p"), F.col("y").alias("o"), F.col("y_kind").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))]
-        facts = known.where(F.col("p") != SAME)
-        out.append(facts.join(whole.withColumnRenamed("x", "s"), [*k, "s"]).select(*k, F.col("y").alias("s"), F.col("y_kind").alias("s_kind"), "p", "o", "o_kind", "o_dt", "o_lang"))
-        out.append(facts.where(F.col("o_kind") != "literal").join(whole.withColumnRenamed("x", "o"), [*k, "o"]).select(*k, "s", "s_kind", "p", F.col("y").alias("o"), F.col("y_kind").alias("o_kind"), "o_dt", "o_lang"))
-        return out
+from .components import representatives
+from .lineage import stored
+from .rules import FACT, SAME, Rules, in_schema, is_node
 
+QUAD = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
+
+
+def encoded(quads: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts with nodes as one string each, blank ones marked by a leading ``_:``."""
+    node = lambda c, kind: F.when(F.col(kind) == "bnode", F.concat(F.lit("_:"), F.col(c))).otherwise(F.col(c)).alias(c)
+    literal = F.col("o_kind") == "literal"
+    return quads.select(*keys, node("s", "s_kind"), "p", node("o", "o_kind"), F.when(literal, "literal").otherwise("node").alias("o_kind"), *[F.when(literal, F.coalesce(c, F.lit(""))).otherwise("").alias(c) for c in ("o_dt", "o_lang")])
 
-def infer(quads: DataFrame, per_graph: bool = False) -> DataFrame:
-    """The quads with all that follows from them: over the union of graphs (no column g), or within each graph.
 
-    Axiomatic and datatype triples are not added. Loops are fine: no rule makes new
-    terms, so rounds end when nothing is new.
+def decoded(facts: DataFrame, keys: list[str]) -> DataFrame:
+    blank = lambda c: F.col(c).startswith("_:")
+    name = lambda c, is_node: F.when(is_node & blank(c), F.substring(c, 3, 2**31 - 1)).otherwise(F.col(c)).alias(c)
+    kind: Column = F.when(F.col("o_kind") == "literal", "literal").when(blank("o"), "bnode").otherwise("iri")
+    return facts.select(*keys, name("s", F.lit(True)), F.when(blank("s"), "bnode").otherwise("iri").alias("s_kind"), "p", name("o", is_node()), kind.alias("o_kind"), "o_dt", "o_lang")
+
+
+class Closure:
+    """All that follows from quads: over the union of graphs (no column g), or within each graph.
+
+    Axiomatic and datatype triples are not added. No rule makes new terms, so rounds end when nothing is new.
+    ``facts`` are on representatives; ``classes`` (keys..., node, rep) names the other members of each class of equals, or is None.
     """
-    keys = ["g"] if per_graph else []
-    known = cut(quads.select(*keys, *FACT).distinct())
-    rules = Rules.__new__(Rules)
-    rules.lists = known
-    rules.__init__(known, keys)
-    schema = [(d, p) for d, p in ((rules.sub_class, RDFS + "subClassOf"), (rules.sub_property, RDFS + "subPropertyOf")) if d is not None]
-    for closed, p in schema:
-        facts = closed.select(*keys, F.col("x").alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), F.col("y").alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
-        known = known.unionByName(facts.join(known, [*keys, "s", "p", "o"], "left_anti"))
-    known = cut(known.distinct())
-    new = known
-    while True:
-        found = rules.apply(new, known) + rules.equalities(new, known)
+
+    def __init__(self, quads: DataFrame, per_graph: bool = False) -> None:
+        self.keys = ["g"] if per_graph else []
+        self.columns = [*self.keys, *FACT]
+        self.classes: DataFrame | None = None
+        self.given = encoded(quads, self.keys)
+        self.parts = [self.part(self.given.distinct())]
+        new, whole = self.parts[0], True
+        rules: Rules | None = None
+        while True:
+            merged = self.merge(new)
+            if merged is not None:
+                fresh, renamed = merged
+                new = new.unionByName(fresh)
+                if rules is not None and not renamed.select("node").union(renamed.select("rep")).join(rules.names, "node", "left_semi").isEmpty():
+                    rules = None
+            if rules is None:
+                rules = Rules(self.known(), self.keys, self.classes)
+                fresh = self.part(self.minus(rules.first()))
+                self.parts.append(fresh)
+                new, whole = self.known(), True
+            found = self.part(self.minus(rules.apply(new.where(F.col("p") != SAME), self.known(), whole)))
+            if found.isEmpty():
+                break
+            self.parts.append(found)
+            new, whole = found, False
+            # Rules whose schema is itself inferred: the tables are made anew, and all facts are new to them.
+            if not found.where(in_schema()).isEmpty():
+                rules = None
+        self.rules = rules
+
+    def part(self, facts: DataFrame) -> DataFrame:
+        """A table of facts, each file sorted by predicate, so that a rule reads the row groups of its predicates."""
+        return stored(facts.select(*self.columns).sortWithinPartitions("p"), "facts")
+
+    def known(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts).where(F.col("p") != SAME)
+
+    def minus(self, found: list[DataFrame]) -> DataFrame:
+        """The facts found, on representatives, that are not known yet."""
         if not found:
-            return known
-        columns = [*keys, *FACT]
-        fresh = reduce(DataFrame.unionByName, (f.select(*columns) for f in found)).distinct().join(known, columns, "left_anti")
-        new = cut(fresh)
-        if new.isEmpty():
-            return known
-        known = cut(known.unionByName(new))
+            return self.parts[0].limit(0)
+        facts = self.canonical(reduce(DataFrame.unionByName, (f.select(*self.columns) for f in found)))
+        facts = facts.where((F.col("p") != SAME) | (F.col("s") != F.col("o"))).distinct()
+        return facts.join(reduce(DataFrame.unionByName, self.parts), self.columns, "left_anti")
+
+    def canonical(self, facts: DataFrame) -> DataFrame:
+        if self.classes is None:
+            return facts
+        k = self.keys
+        at = lambda c: self.classes.select(*k, F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"))  # type: ignore[union-attr]
+        named = facts.join(at("s"), [*k, "s"], "left").withColumn("s", F.coalesce("s_rep", "s")).drop("s_rep")
+        # A literal that reads like a name is none.
+        named = named.withColumn("node", F.when(is_node(), F.col("o"))).join(at("node"), [*k, "node"], "left")
+        return named.withColumn("o", F.coalesce("node_rep", "o")).select(*self.columns)
+
+    def merge(self, new: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(facts, nodes): the known facts of those who have a new representative, told of it; None where nobody has."""
+        k = self.keys
+        edges = new.where((F.col("p") == SAME) & is_node() & (F.col("s") != F.col("o"))).select(*k, F.col("s").alias("x"), F.col("o").alias("y"))
+        if edges.isEmpty():
+            return None
+        before = self.classes
+        if before is not None:
+            edges = edges.unionByName(before.select(*k, F.col("node").alias("x"), F.col("rep").alias("y")))
+        self.classes = representatives(edges, k)
+        changed = self.classes if before is None else self.classes.join(before, [*k, "node", "rep"], "left_anti")
+        nodes = stored(changed.select(*k, "node", "rep"), "renamed")
+        known = self.known()
+        of = lambda c: nodes.select(*k, F.col("node").alias(c))
+        touched = known.join(of("s"), [*k, "s"], "left_semi").unionByName(known.where(is_node()).join(of("o"), [*k, "o"], "left_semi"))
+        fresh = self.part(self.minus([touched]))
+        self.parts.append(fresh)
+        return fresh, nodes
+
+    @property
+    def facts(self) -> DataFrame:
+        """All facts but equalities, on representatives: once each."""
+        facts = self.known()
+        if self.classes is None:
+            return facts
+        k = self.keys
+        of = lambda c: self.classes.select(*k, F.col("node").alias(c))  # type: ignore[union-attr]
+        facts = facts.withColumn("node", F.when(is_node(), F.col("o"))).join(of("node"), [*k, "node"], "left_anti").drop("node")
+        return facts.join(of("s"), [*k, "s"], "left_anti").select(*self.columns)
+
+    def expanded(self) -> DataFrame:
+        """Quads with every name of every thing. Lazy: a filter by predicate leaves the other facts, and the pairs of equals, unmade."""
+        k = self.keys
+        if self.classes is None:
+            same = self.parts[0].where(F.col("p") == SAME)
+            return decoded(self.known().unionByName(same), k)
+        reps = self.classes.select(*k, "rep").distinct()
+        members = self.classes.unionByName(reps.select(*k, F.col("rep").alias("node"), "rep"))
+        at = lambda c: members.select(*k, F.col("rep").alias(c), F.col("node").alias(f"{c}_name"))
+        facts = self.facts.join(at("s"), [*k, "s"], "left").withColumn("s", F.coalesce("s_name", "s")).withColumn("node", F.when(is_node(), F.col("o")))
+        facts = facts.join(at("node"), [*k, "node"], "left").withColumn("o", F.coalesce("node_name", "o")).select(*self.columns)
+        a, b = members.withColumnRenamed("node", "s"), members.withColumnRenamed("node", "o")
+        equals = a.join(b, [*k, "rep"]).where(F.col("s") != F.col("o"))
+        equals = equals.select(*k, "s", F.lit(SAME).alias("p"), "o", F.lit("node").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
+        other = self.given.where((F.col("p") == SAME) & ((F.col("s") == F.col("o")) | ~is_node())).distinct()
+        return decoded(facts.unionByName(equals).unionByName(other), k)
+
+    def inconsistencies(self) -> DataFrame:
+        """(keys..., rule, s, detail) of what can't be true together, named by the rules of the profile; blank nodes with a leading ``_:``."""
+        return self.rules.contradictions(self.facts)
+
+
+def infer(quads: DataFrame, per_graph: bool = False) -> DataFrame:
+    """The quads with all that follows from them."""
+    return Closure(quads, per_graph).expanded()
+
+
+def inconsistencies(quads: DataFrame, per_graph: bool = False) -> DataFrame:
+    return Closure(quads, per_graph).inconsistencies()

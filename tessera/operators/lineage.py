@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder: cuts lineage, and columns and predicates still prune what is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
