@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Rows that an operator takes from an Arrow batch at a time, so that long texts stay few in memory.
 SLICE_ROWS = 256
+#: Rows of a file of a checkpoint whose size is known, and files that are always allowed.
+FILE_ROWS = 100_000
+LEAST_FILES = 8
 #: Text bytes that an operator takes from an Arrow batch at a time.
 SLICE_BYTES = 4 << 20
 
@@ -35,10 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back; cuts its lineage."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back; cuts its lineage.
+
+    Where its ``rows`` are known, about, a small table is written in few files, whatever the number of shuffle partitions.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,11 +11,11 @@ from .common import checkpointed
 ROUNDS = 60
 
 
-def jumped(hooks: DataFrame) -> DataFrame:
+def jumped(hooks: DataFrame, rows: int) -> DataFrame:
     """(node, label) with every label replaced by the end of its chain of labels."""
     for _ in range(ROUNDS):
         up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = checkpointed(hooks.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")))
+        step = checkpointed(hooks.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), rows)
         hooks = step.select("node", "label")
         if step.where("moved").isEmpty():
             return hooks
@@ -30,19 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
     What is found is written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm.
     """
     left = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = left.count()
     found: DataFrame | None = None
     for _ in range(ROUNDS):
         if left.isEmpty():
             break
-        hooks = jumped(checkpointed(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))))
+        hooks = jumped(checkpointed(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), rows), rows)
         of_a = hooks.select(F.col("node").alias("a"), F.col("label").alias("x"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("label").alias("y"))
         ends = left.join(of_a, "a").join(of_b, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where(F.col("x") != F.col("y"))
-        left = checkpointed(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        left = checkpointed(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), rows)
         if found is not None:
             up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
             hooks = found.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
-        found = checkpointed(hooks)
+        found = checkpointed(hooks, 2 * rows)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     if found is None:
