@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.builtins import Expressions, number, order_keys, text
 from ..operators.closure import transitive
+from ..operators.lineage import stored
 from .algebra import TYPE, XSD, Aggregate, Call, Iri, Literal, Node, Path, Query, QueryError, Term, Triple, Var
 from .bindings import DOUBLE, INTEGER, IRI, STR, Kind, Rel, Value, as_kind, common, constant, half_join, join, lex, name, term, union
 from .parser import parse
@@ -266,7 +267,8 @@ class Compiler:
 
     # Basic graph patterns.
 
-    def p_bgp(self, triples: list[Triple], graph: Graph) -> Rel:
+    def p_bgp(self, triples: list[Triple], graph: Graph, given: dict[str, Kind] | None = None) -> Rel:
+        """``given`` are the kinds that variables are known to have, which leave tables out."""
         if not triples:
             return self.unit()
         plain = []
@@ -293,13 +295,19 @@ class Compiler:
         units.sort(key=hint)
         rel = None
         seen: set[str] = set()
+        nodes: set[str] = set()
         while units:
             # The next unit shares a variable with those before it, if any does.
             at = next((i for i, u in enumerate(units) if not seen or variables(u) & seen), 0)
             u = units.pop(at)
-            one = self.path(u[2].p, u[2].s, u[2].o, graph) if u[0] == "path" else self.source.star(u[1], u[2], graph, rel.kinds if rel is not None else None)
+            known = (given or {}) | (rel.kinds if rel is not None else {})
+            if u[0] == "path":
+                one = self.sideways(u[2], rel, nodes, graph) or self.path(u[2].p, u[2].s, u[2].o, graph)
+            else:
+                one = self.source.star(u[1], u[2], graph, known or None)
             rel = one if rel is None else join(rel, one)
             seen |= variables(u)
+            nodes |= {x.name for x in ((u[2].s, u[2].o) if u[0] == "path" else (u[1], *(o for _, o in u[2]))) if isinstance(x, Var)}
         return rel
 
     def flattened(self, triples: list[Triple]) -> list[Triple]:
@@ -350,6 +358,50 @@ class Compiler:
             found = found.select(F.col("y").alias("x"), F.col("x").alias("y"))
         return self.bound(found, s, o)
 
+    def sideways(self, t: Triple, rel: Rel | None, nodes: set[str], graph: Graph) -> Rel | None:
+        """A repeated path from the solutions so far, where these bind one end to nodes of the graph; else None.
+
+        Only what those nodes lead to is closed, and only tables that can hold them are read: each round joins the nodes found last, kind by kind on
+        their stored keys, with the edges that such nodes can have.
+        """
+        if rel is None or t.p.op not in ("+", "*") or not isinstance(t.s, Var) or not isinstance(t.o, Var) or t.s == t.o:
+            return None
+        end = next((v for v in (t.s, t.o) if v.name in rel.kinds and v.name in nodes and not rel.kinds[v.name].maybe and rel.kinds[v.name].name in ("iri", "term")), None)
+        if end is None:
+            return None
+        far = t.o if end == t.s else t.s
+        inner = t.p.parts[0]
+        steps = list(inner.parts) if isinstance(inner, Path) and inner.op == "|" else [inner]
+        self.fresh += 1
+        origin, at, to = (f"_b_{x}{self.fresh}" for x in ("origin", "at", "to"))
+        kind = rel.kinds[end.name]
+        begun = Rel(rel.df.select(F.col(name(end.name)).alias(name(origin)), F.col(name(end.name)).alias(name(at))).distinct(), {origin: kind, at: kind})
+        found: dict[Kind, DataFrame] = {}
+        frontier = [begun]
+        while frontier:
+            fresh: dict[Kind, list[DataFrame]] = {}
+            for part in frontier:
+                for step in steps:
+                    triple = Triple(Var(at), step, Var(to)) if end == t.s else Triple(Var(to), step, Var(at))
+                    edges = self.p_bgp([triple], graph, {at: part.kinds[at]})
+                    if at in edges.kinds and to in edges.kinds:
+                        led = join(part, edges.pick([at, to]))
+                        fresh.setdefault(led.kinds[to], []).append(led.df.select(F.col(name(origin)), F.col(name(to)).alias(name(at))))
+            frontier = []
+            for k, parts in fresh.items():
+                new = reduce(DataFrame.unionByName, parts).distinct()
+                new = stored(new.join(found[k], new.columns, "left_anti") if k in found else new, "path")
+                if not new.isEmpty():
+                    found[k] = found[k].unionByName(new) if k in found else new
+                    frontier.append(Rel(new, {origin: kind, at: k}))
+        rels = [Rel(df, {origin: kind, at: k}) for k, df in found.items()] + ([begun] if t.p.op == "*" else [])
+        if not rels:
+            rels = [Rel(begun.df.limit(0), begun.kinds)]
+        out = reduce(union, rels)
+        # A node that leads back to itself is found by a step and by none.
+        named = out.df.select(F.col(name(origin)).alias(name(end.name)), F.col(name(at)).alias(name(far.name)))
+        return Rel(named.distinct() if t.p.op == "*" else named, {end.name: out.kinds[origin], far.name: out.kinds[at]})
+
     @staticmethod
     def bound(found: DataFrame, s: Term, o: Term) -> Rel:
         """Pairs (x, y) of terms as solutions for the ends of a path."""
