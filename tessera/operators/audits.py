@@ -311,3 +311,23 @@ def fix_edits(files: DataFrame, fixes: DataFrame) -> DataFrame:
         return out
 
     return flat_map(at.join(grouped, "source_route").select("path", "text", "found"), "path string, start int, end int, old string, new string", rows)
+
+
+def heading_edits(files: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(path, start, end, old, new) that give links the headings of ``documents.fix_headings``: page and label stay, the fragment changes."""
+    at = files.select("path", "text", documents.route(F.col("path")).alias("source_route")).where(F.col("path").endswith(".md"))
+    grouped = fixes.groupBy("source_route").agg(F.collect_list(F.struct("raw_target", "fragment", "new_fragment")).alias("found"))
+
+    def rows(path: str, text: str, found) -> list[tuple]:
+        body = split_markdown(text)[1]
+        skip, new = len(text) - len(body), {(f["raw_target"], f["fragment"]): f["new_fragment"] for f in found}
+        out = []
+        for kind, raw, _, fragment, a, b in md.links(body, route_of(path)):
+            if (raw, fragment) in new:
+                old = body[a:b]
+                mark = old.index("#", old.index("](") if kind == "markdown" else 0)
+                end = re.compile(r"[|\]]" if kind == "wiki" else r"[\s)]").search(old, mark).start()
+                out.append((path, skip + a, skip + b, old, f"{old[:mark]}#{new[raw, fragment]}{old[end:]}"))
+        return out
+
+    return flat_map(at.join(grouped, "source_route").select("path", "text", "found"), "path string, start int, end int, old string, new string", rows)

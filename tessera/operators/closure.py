@@ -8,12 +8,17 @@ Both end when a round finds nothing new, and return the whole closure.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cycles import strong_components
-from .lineage import cut, stored
+from .lineage import stored
+
+
+#: Tables that a closure consists of at most.
+MOST_PARTS = 24
 
 
 def transitive(edges: DataFrame, keys: Sequence[str] = (), start: DataFrame | None = None) -> DataFrame:
@@ -22,16 +27,18 @@ def transitive(edges: DataFrame, keys: Sequence[str] = (), start: DataFrame | No
     ``start`` (keys..., x) restricts the first ends, so that only what they reach is computed.
     """
     keys = list(keys)
-    edges = cut(edges.select(*keys, "x", "y").distinct())
-    found = cut(edges.join(start.distinct(), [*keys, "x"], "left_semi") if start is not None else edges)
-    new = found
+    edges = stored(edges.select(*keys, "x", "y").distinct(), "edges")
+    parts = [stored(edges.join(start.distinct(), [*keys, "x"], "left_semi"), "pairs") if start is not None else edges]
+    new = parts[0]
     while True:
+        found = reduce(DataFrame.unionByName, parts)
         step = (found if start is None else edges).select(*keys, F.col("x").alias("y"), F.col("y").alias("z"))
         longer = new.join(step, [*keys, "y"]).select(*keys, "x", F.col("z").alias("y")).distinct()
-        new = cut(longer.join(found, [*keys, "x", "y"], "left_anti"))
+        new = stored(longer.join(found, [*keys, "x", "y"], "left_anti"), "pairs")
         if new.isEmpty():
             return found
-        found = cut(found.unionByName(new))
+        # Each round's pairs are a table of their own, written once; only many rounds of single steps are put together now and then.
+        parts = [*parts, new] if len(parts) < MOST_PARTS else [stored(found.unionByName(new), "pairs")]
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -222,6 +222,21 @@ def fix_links(broken: DataFrame, routes: DataFrame, renames: dict[str, str] | No
     return done.select("source_route", "raw_target", new.alias("new_route"), how.alias("how")).where(F.col("new_route").isNotNull())
 
 
+def fix_headings(broken: DataFrame, ids: DataFrame) -> DataFrame:
+    """(source_route, raw_target, fragment, new_fragment) of links to missing headings that one heading of the page is close to in spelling.
+
+    Different fragments of a page are compared with the page's own slugs alone. A ratio of CUTOFF leaves room for few edits, so the edit distance
+    sorts most of them out before the ratio is taken.
+    """
+    missing = broken.where(F.col("issue") == "missing_heading").select("source_route", "raw_target", "target_route", "fragment")
+    asked = missing.select("target_route", "fragment").distinct()
+    slugs = ids.select(F.col("route").alias("target_route"), "slug").distinct()
+    near = asked.join(slugs, "target_route").where(F.levenshtein("fragment", "slug") <= F.floor((F.length("fragment") + F.length("slug")) * (1 - CUTOFF) + 1e-9))
+    close = flat_map(near.select("target_route", "fragment", "slug"), "target_route string, fragment string, slug string", lambda r, a, b: [(r, a, b)] if difflib.SequenceMatcher(None, b, a).ratio() >= CUTOFF else [])
+    only = close.groupBy("target_route", "fragment").agg(F.count(F.lit(1)).alias("n"), F.min("slug").alias("new_fragment")).where("n = 1").drop("n")
+    return missing.join(only, ["target_route", "fragment"]).select("source_route", "raw_target", "fragment", "new_fragment").distinct()
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(path, text) with each file's (path, start, end, old, new) edits made from the right, where the old text still stands."""
     grouped = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "old", "new"))).alias("edits"))

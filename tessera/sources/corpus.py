@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -43,13 +44,20 @@ def excluded(path_column, patterns: list[str]):
     return found
 
 
+def below(root: str) -> Column:
+    """A file's path relative to a root, which may be given with or without its file system, whatever characters it holds."""
+    inner = "/" + (root.partition(":")[2] if re.match(r"\w+:", root) else root).strip("/") + "/"
+    # Spark gives paths with blanks and such encoded, but leaves a plus sign as it is.
+    full = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
+    at = F.instr(full, inner)
+    return F.when(at > 0, F.substring(full, at + len(inner), F.lit(2**31 - 1))).otherwise(full)
+
+
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """(path, suffix, text, size, mtime) of every document and RDF file below a root, paths relative to it."""
     texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), "^.*?" + base.replace("\\", "\\\\") + "/", "")
-    files = texts.select(relative.alias("path"), F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1)).alias("suffix"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"))
+    files = texts.select(below(root).alias("path"), F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1)).alias("suffix"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"))
     kept = files.where(F.col("suffix").isin([*frontmatter.DOCUMENTS, *RDF_SUFFIXES]))
     return kept.where(~excluded(F.col("path"), exclude or []))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.summary import changed_files
 from ..sources import frontmatter
+from ..sources.corpus import below
 
 FILES = "path string, suffix string, text string, size long, mtime timestamp"
 
@@ -17,10 +18,7 @@ def file_stream(spark: SparkSession, root: str) -> DataFrame:
     """New and changed files of a folder as a stream of (path, suffix, text, size, mtime)."""
     texts = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("latestFirst", False).load(root)
     suffix = F.lower(F.regexp_extract("_metadata.file_path", r"(\.[^./]*)$", 1))
-    # Paths may be given with or without their file system.
-    inner = root.rstrip("/").partition(":")[2].lstrip("/") or root.strip("/")
-    path = F.regexp_replace("_metadata.file_path", "^.*?/" + inner + "/", "")
-    return texts.select(path.alias("path"), suffix.alias("suffix"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime")).where(F.col("suffix").isin(list(frontmatter.DOCUMENTS)))
+    return texts.select(below(root).alias("path"), suffix.alias("suffix"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime")).where(F.col("suffix").isin(list(frontmatter.DOCUMENTS)))
 
 
 def refresh(spark: SparkSession, root: str, table: str, checkpoint: str, rows_of: Callable[[DataFrame], DataFrame]) -> None:
