@@ -2,54 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..sources.corpus import flat_map
-from ..sources.frontmatter import Config, metadata, route_of, split_markdown
+from ..sources.corpus import flat_map, metadata_rows
+from ..sources.frontmatter import Config, route_of, split_markdown
 from . import documents
-from .audits import named
 from .lineage import cut
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
-def categories(files: DataFrame) -> DataFrame:
-    """(route, position, category): a page's layout but the default one, then its types without prefixes, each once whatever its case."""
+def stripped(column: Column) -> Column:
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
 
-    def rows(path: str, text: str) -> Iterator[tuple]:
-        data, _ = metadata(path, text)
-        data = data or {}
-        layout = str(named(data, "layout") or "").rpartition("/")[2].removesuffix(".html")
-        kinds = data.get("@type") or data.get("type") or []
-        found = [layout if layout != "default" else "", *(k.partition(":")[2] if ":" in k else k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str))]
-        seen: dict[str, str] = {}
-        for name in found:
-            if name.strip():
-                seen.setdefault(name.strip().lower(), name.strip())
-        yield from ((route_of(path), n, name) for n, name in enumerate(seen.values()))
+def in_order(found: DataFrame, column: str, key: Column) -> DataFrame:
+    """(route, position, column): the values of each route that differ in ``key``, by their rank, counted from 0."""
+    first = found.where(F.col(column) != "").groupBy("route", key.alias("key")).agg(F.min("rank").alias("rank"), F.min_by(column, "rank").alias(column))
+    place = F.row_number().over(Window.partitionBy("route").orderBy("rank")) - 1
+    return first.select("route", place.alias("position"), column)
 
-    return flat_map(files.select("path", "text"), "route string, position int, category string", lambda p, t: list(rows(p, t)))
+
+def categories(files: DataFrame) -> DataFrame:
+    """(route, position, category): a page's layout but the default one, then its types without prefixes, each once whatever its case."""
+    rows = metadata_rows(files).where(F.col("value").isNotNull())
+    layouts = rows.where(F.col("key_path").rlike(r"^([^.\[]*:)?layout$")).groupBy("route").agg(F.min_by("value", "key_path").alias("value"))
+    name = F.regexp_replace(F.substring_index("value", "/", -1), r"\.html$", "")
+    own = layouts.select("route", F.lit(0).alias("rank"), stripped(name).alias("category")).where("category <> 'default'")
+    typed = rows.where(F.col("key_path").rlike(r"^@?type(\[\d+\])?$") & (F.col("value_type") == "str") & (F.col("value") != ""))
+    typed = typed.withColumn("key", F.regexp_extract("key_path", r"^@?type", 0)).withColumn("first", F.min("key").over(Window.partitionBy("route"))).where("key = first")
+    place = F.coalesce(F.regexp_extract("key_path", r"\d+", 0).try_cast("int"), F.lit(0)) + 1
+    kinds = typed.select("route", place.alias("rank"), stripped(F.regexp_replace("value", "^[^:]*:", "")).alias("category"))
+    return in_order(own.unionByName(kinds), "category", F.lower("category"))
 
 
 def identifiers(files: DataFrame, config: Config) -> DataFrame:
     """(route, position, id): the names that a page gives itself, with known prefixes written out, then its own address; each once."""
-
-    def rows(path: str, text: str) -> list[tuple]:
-        data, _ = metadata(path, text)
-        found = []
-        for key in ("@id", "id"):
-            given = (data or {}).get(key)
-            if isinstance(given, str) and given.strip():
-                prefix, colon, local = given.strip().partition(":")
-                known = colon and prefix in config.namespaces and not md.EXTERNAL.match(given.strip()) and prefix.lower() != "urn"
-                found += [given.strip(), *([config.namespaces[prefix] + local] if known else [])]
-        return [(route_of(path), n, x) for n, x in enumerate(dict.fromkeys([*found, config.base_iri + route_of(path)]))]
-
-    return flat_map(files.select("path", "text"), "route string, position int, id string", rows)
+    rank = F.when(F.col("key_path") == "@id", 0).otherwise(2)
+    given = metadata_rows(files).where(F.col("key_path").isin("@id", "id") & (F.col("value_type") == "str")).select("route", rank.alias("rank"), stripped(F.col("value")).alias("id"))
+    spaces = F.create_map(*(F.lit(x) for pair in config.namespaces.items() for x in pair)) if config.namespaces else F.create_map()
+    prefix = F.substring_index("id", ":", 1)
+    plain = F.col("id").contains(":") & ~F.col("id").rlike(md.EXTERNAL.pattern) & (F.lower(prefix) != "urn")
+    full = given.where(plain).select("route", (F.col("rank") + 1).alias("rank"), F.concat(F.try_element_at(spaces, prefix), F.regexp_replace("id", "^[^:]*:", "")).alias("id")).where("id IS NOT NULL")
+    own = files.select(documents.route(F.col("path")).alias("route")).distinct().select("route", F.lit(4).alias("rank"), F.concat(F.lit(config.base_iri), "route").alias("id"))
+    return in_order(given.unionByName(full).unionByName(own), "id", F.col("id"))
 
 
 def sections(files: DataFrame) -> DataFrame:
