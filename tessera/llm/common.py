@@ -54,6 +54,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage: shuffle files, broadcasts and checkpoints of steps that are done go only when it does."""
+    spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
+
+
 def kept_rows(df: DataFrame, keeps: Callable[[Iterator[str]], Iterator[bool]], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text ``keeps`` says to keep; it gets a partition's texts, null as empty."""
     at = df.columns.index(text_col)
