@@ -17,6 +17,8 @@ from ..functions import markdown as md
 from ..sources.corpus import flat_map
 from ..sources.frontmatter import Config, expand, metadata, route_of, split_markdown, types_of
 from . import documents
+from .closure import transitive
+from .lineage import cut
 
 IMAGE = re.compile(r"!\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
 #: Keys of metadata whose values are files, beside all that end in "image".
@@ -151,6 +153,33 @@ def schema_uses(files: DataFrame, config: Config) -> DataFrame:
     return flat_map(files.select("path", "text"), "route string, role string, type string, ref string, data string", lambda p, t: list(rows(p, t)))
 
 
+def readable(text: str | None) -> bool:
+    try:
+        return isinstance(json.loads(text or ""), dict)
+    except ValueError:
+        return False
+
+
+def schema_closures(schemas: DataFrame) -> DataFrame:
+    """(ref, others): the other schemas (path, text), as a map by address, that each one comes to by its references.
+
+    A document is known by its path and by its own ``$id``. What one schema refers to is a bounded map; references are closed on addresses alone.
+    """
+
+    def rows(path: str, text: str) -> list[tuple]:
+        if not readable(text):
+            return []
+        schema = json.loads(text)
+        own = schema.get("$id")
+        return [(path, "refers", x) for x in jsonschema.references(schema, path)] + ([(path, "is", own.partition("#")[0])] if isinstance(own, str) else [])
+
+    told = cut(flat_map(schemas.select("path", "text"), "path string, what string, address string", rows))
+    names = schemas.select(F.col("path").alias("address"), "path").unionByName(told.where("what = 'is'").select("address", "path")).groupBy("address").agg(F.min("path").alias("y"))
+    edges = told.where("what = 'refers'").join(names, "address").select(F.col("path").alias("x"), "y").where("x <> y")
+    texts = schemas.where(F.col("path").isNotNull()).groupBy("path").agg(F.first("text").alias("text"))
+    return transitive(edges).where("x <> y").join(texts.withColumnRenamed("path", "y"), "y").groupBy(F.col("x").alias("ref")).agg(F.map_from_entries(F.collect_list(F.struct("y", "text"))).alias("others"))
+
+
 def schema_issues(files: DataFrame, schemas: DataFrame, config: Config) -> DataFrame:
     """(code, route, message): missing_schema_ref and frontmatter_schema, for ``schemas`` (path, text) below the root.
 
@@ -165,21 +194,18 @@ def schema_issues(files: DataFrame, schemas: DataFrame, config: Config) -> DataF
     pairs = wanted.unionByName(own).groupBy("route", "ref").agg(F.first("data").alias("data")).join(known, "ref", "left")
     named_by = uses.where(F.col("role").isin("binding", "own")).select("route", "ref").distinct()
 
-    def readable(text: str | None) -> bool:
-        try:
-            return isinstance(json.loads(text or ""), dict)
-        except ValueError:
-            return False
-
     missing = flat_map(named_by.join(known, "ref", "left").select("route", "ref", "schema"), "code string, route string, message string", lambda route, ref, schema: [] if readable(schema) else [("missing_schema_ref", route, ref)])
+    others = schema_closures(schemas)
 
-    def check(route: str, ref: str, data: str, schema: str | None) -> list[tuple]:
+    def check(route: str, ref: str, data: str, schema: str | None, more: dict[str, str] | None) -> list[tuple]:
         if not readable(schema):
             return []
-        return [("frontmatter_schema", route, f"{path} {keyword}: {message} ({ref})") for path, keyword, message in jsonschema.errors(json.loads(data), json.loads(schema))]
+        texts = {x["key"]: json.loads(x["value"]) for x in more or [] if readable(x["value"])}
+        return [("frontmatter_schema", route, f"{path} {keyword}: {message} ({ref})") for path, keyword, message in jsonschema.errors(json.loads(data), json.loads(schema), ref, texts)]
 
+    checked = pairs.join(others, "ref", "left").select("route", "ref", "data", "schema", F.map_entries("others").alias("others"))
     invalid = uses.where("role = 'invalid'").select(F.lit("frontmatter_schema").alias("code"), "route", F.lit("schema pointer is neither a string nor a list of strings").alias("message"))
-    return missing.unionByName(flat_map(pairs.select("route", "ref", "data", "schema"), "code string, route string, message string", check)).unionByName(invalid)
+    return missing.unionByName(flat_map(checked, "code string, route string, message string", check)).unionByName(invalid)
 
 
 def layout_issues(files: DataFrame, others: DataFrame) -> DataFrame:

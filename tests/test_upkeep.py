@@ -122,3 +122,23 @@ def test_sources_and_what_they_ask_for(spark):
     assert [(r["name"], r["parent"], r["url"], r["taken_url"]) for r in found.conflicts().collect()] == [("c", "b", "http://other", "http://c")]
     assert {tuple(r) for r in found.cycles().collect()} == {("a", "a"), ("b", "a")}
     assert {tuple(r) for r in found.required_by.collect()} == {("b", "a"), ("c", "a"), ("c", "b"), ("a", "b")}
+
+
+def test_schemas_that_refer_to_others(spark):
+    from tessera.functions import jsonschema
+
+    person = {"$id": "http://s/person", "type": "object", "properties": {"home": {"$ref": "address.json#/$defs/place"}, "pets": {"items": {"$ref": "#pet"}}}, "$defs": {"p": {"$anchor": "pet", "required": ["name"]}}}
+    address = {"$defs": {"place": {"required": ["city"], "properties": {"near": {"$ref": "http://s/person"}}}}}
+    others = {"http://s/address.json": address}
+    assert jsonschema.errors({"home": {"city": 1, "near": {"home": {}}}, "pets": [{}]}, person, "schemas/person.json", others) == [("/home/near/home", "required", "city is required"), ("/pets/0", "required", "name is required")]
+    assert [e[:2] for e in jsonschema.errors({"home": 1}, person, "schemas/person.json")] == [("/home", "$ref")]
+    assert [e[1] for e in jsonschema.errors(1, {"anyOf": [{"$ref": "#"}, {"$ref": "#"}]})] == ["$ref"]
+    closed = {"allOf": [{"properties": {"a": True}}, {"if": {"required": ["b"]}, "then": {"properties": {"b": True}}}], "properties": {"c": True}, "unevaluatedProperties": False}
+    assert jsonschema.errors({"a": 1, "b": 2, "c": 3}, closed) == [] and [e[1:] for e in jsonschema.errors({"a": 1, "d": 2}, closed)] == [("unevaluatedProperties", "d is not allowed")]
+    assert [e[1] for e in jsonschema.errors([1, "x", 2], {"prefixItems": [True], "contains": {"type": "string"}, "unevaluatedItems": False})] == ["unevaluatedItems"]
+    assert [e[0] for e in jsonschema.errors({"a": 1}, {"dependentSchemas": {"a": {"required": ["b"]}}})] == [""]
+    page = "---\njsonSchema: schemas/one.json\nname: x\nplace: {}\n---\n"
+    schemas = [("schemas/one.json", '{"properties": {"place": {"$ref": "two.json"}, "name": {"$ref": "gone.json"}}}'), ("schemas/two.json", '{"$ref": "http://s/three"}'), ("schemas/3.json", '{"$id": "http://s/three", "required": ["city"]}'), ("broken.json", "{")]
+    files = spark.createDataFrame([("p.md", page)], "path string, text string")
+    found = audits.schema_issues(files, spark.createDataFrame(schemas, "path string, text string"), corpus.Config()).collect()
+    assert sorted(r["message"] for r in found) == ["/name $ref: gone.json leads nowhere (schemas/one.json)", "/place required: city is required (schemas/one.json)"]
