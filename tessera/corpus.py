@@ -46,7 +46,7 @@ class Corpus:
         q = parse(text, self.config.namespaces, self.config.base_iri)
         apart = q.uses_graphs or q.named_graphs or q.default_graphs
         quads = self.dataset(inference) if apart else self.graph(inference).withColumn("g", F.lit(self.config.base_iri + "graphs/root"))
-        return Compiler(self.spark, Quads(quads), self.config.namespaces, self.config.base_iri).run(q)
+        return Compiler(self.spark, Quads(quads, distinct=not apart), self.config.namespaces, self.config.base_iri).run(q)
 
     def format(self, text: str, fmt: str = "table", inference: bool = False) -> str:
         return results.formatted(self.query(text, inference), fmt, self.config.namespaces, self.config.base_iri)

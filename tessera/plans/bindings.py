@@ -180,13 +180,45 @@ def bound_parts(a: Rel, b: Rel, shared: list[str]) -> list[tuple[DataFrame, Data
     return parts
 
 
+#: Variables that may be unbound, of both sides together, by which a join is split into joins by equality.
+MOST_UNBOUND = 4
+
+
+def half_parts(a: Rel, b: Rel, wanted: list[str]) -> list[tuple[Column, list[tuple[Column, Column | None]]]]:
+    """Rows of a by what they leave unbound, and for each the rows of b by what they leave unbound with the equality that makes them compatible.
+
+    None where they have nothing bound in common, so that all are.
+    """
+    true = F.lit(True)
+
+    def patterns(variables: list[str], column) -> list[tuple[Column, set[str]]]:
+        out: list[tuple[Column, set[str]]] = [(true, set())]
+        for v in variables:
+            out = [x for cond, free in out for x in ((cond & column(v).isNotNull(), free), (cond & column(v).isNull(), free | {v}))]
+        return out
+
+    found = []
+    for mine, unbound in patterns([v for v in wanted if a.kinds[v].maybe], lambda v: F.col(name(v))):
+        shared = [v for v in wanted if v not in unbound]
+        theirs = []
+        for other, missing in patterns([v for v in shared if b.kinds[v].maybe], lambda v: F.col(f"r_{v}")):
+            equal = [F.col(name(v)) == F.col(f"r_{v}") for v in shared if v not in missing]
+            theirs.append((other, reduce(Column.__and__, equal) if equal else None))
+        found.append((mine, theirs))
+    return found
+
+
 def join(a: Rel, b: Rel, how: str = "inner", extra: Column | None = None) -> Rel:
     """Inner or left join on compatible solutions; ``extra`` is a further condition."""
+    whole = a, b
     a, b, condition, wanted = compatible(a, b)
     if extra is not None:
         condition = extra if condition is None else condition & extra
     left = how == "left"
     unbound = [v for v in wanted if a.kinds[v].maybe or b.kinds[v].maybe]
+    if left and 0 < len(unbound) <= 2 and any(b.kinds[v].maybe for v in unbound):
+        # Solutions with a compatible one, by joins by equality, and those without.
+        return union(join(*whole, extra=extra), half_join(*whole, "left_anti", extra))
     if 0 < len(unbound) <= 2 and not (left and any(b.kinds[v].maybe for v in unbound)):
         joins = []
         for one, other, equal in bound_parts(a, b, list(wanted)):
@@ -223,4 +255,21 @@ def half_join(a: Rel, b: Rel, how: str, extra: Column | None = None, need_shared
             condition = condition & both
     if extra is not None:
         condition = extra if condition is None else condition & extra
-    return Rel(a.df.join(b.df, F.lit(True) if condition is None else condition, how), a.kinds)
+    unbound = sum(x.kinds[v].maybe for v in wanted for x in (a, b))
+    if not 0 < unbound <= MOST_UNBOUND:
+        return Rel(a.df.join(b.df, F.lit(True) if condition is None else condition, how), a.kinds)
+    kept = []
+    for mine, theirs in half_parts(a, b, list(wanted)):
+        rest = a.df.where(mine)
+        for other, equal in theirs:
+            if equal is None and need_shared:
+                continue
+            both = extra if equal is None else equal if extra is None else equal & extra
+            part = b.df.where(other) if both is not None else b.df.where(other).limit(1)
+            both = F.lit(True) if both is None else both
+            if how == "left_semi":
+                kept.append(rest.join(part, both, "left_semi"))
+            rest = rest.join(part, both, "left_anti")
+        if how == "left_anti":
+            kept.append(rest)
+    return Rel(reduce(DataFrame.unionByName, kept) if kept else a.df.limit(0), a.kinds)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import audits, documents, provenance
 from ..operators.lineage import scratch
-from ..plans.algebra import TYPE
+from ..plans.algebra import TYPE, XSD
+from ..plans.compiler import Compiler
+from ..sources import quads
 from ..streaming import incremental
 from .graphs import all_of, facts, key, schema_quads
-from .mapping import EX, table
+from .mapping import EX, NAMESPACES, table
+from .rules import customer_nations, order_customers
 from .texts import lines
 
 NO_QUADS = "path string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
@@ -42,6 +45,17 @@ def incremental_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.facts(log).where(F.col("p") == TYPE).select("s", "o")
 
 
+def stored_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, customers and nations in a quad store with statistics; the chain begins with its rarest pattern."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    me, nation = key("customer/", "c_custkey"), key("nation/", "n_nationkey")
+    data = all_of(order_customers(spark, sf_dir), customer_nations(spark, sf_dir), facts(c, me, TYPE, F.lit("Customer")), facts(n, nation, EX + "name", F.col("n_name"), "literal", XSD + "string"), facts(n.where("n_nationkey % 5 = 0"), nation, TYPE, F.lit("Port")))
+    folder = scratch(spark, "store")
+    quads.write(data, folder, rows_per_file=20_000)
+    question = "SELECT ?o ?name WHERE { ?o ex:customer ?c . ?c a ex:Customer ; ex:nation ?n . ?n a ex:Port ; ex:name ?name }"
+    return Compiler(spark, quads.opened(spark, folder), NAMESPACES, EX).query(question).df
+
+
 def heading_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -85,6 +99,7 @@ ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""WITH d AS (SELECT {O} AS s, concat('{EX}customer/', o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 100000 ELSE 0 END) AS c FROM orders WHERE o_orderkey % 7 <> 0)
         SELECT s, '{EX}' || unnest(['Order', 'Deal', 'Happening']) AS o FROM d UNION ALL SELECT DISTINCT c, '{EX}Partner' FROM d""",
     ),
+    "stored_join": (stored_join, f"SELECT {O} AS o, n_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 = 0"),
     "fix_headings": (
         fix_headings,
         """SELECT concat('customers/', c_custkey, '.md') AS path, concat('---', chr(10), 'name: x', chr(10), '---', chr(10), '# Customer ', c_custkey, chr(10), chr(10), '## Order history', chr(10), chr(10), '## Contact details', chr(10), chr(10),
