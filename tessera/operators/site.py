@@ -41,8 +41,50 @@ def inline(text: str, source: str, style: str) -> str:
     return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
 
 
-def render(body: str, source: str = "", style: str = "pretty") -> str:
-    """Headings with ids, paragraphs, lists, quotes, tables, rules and fenced code."""
+ITEM = re.compile(r"^( *)([-*+]|\d{1,9}[.)])(?: +(.*)|[ \t]*()$)")
+
+
+def listed(lines: list[str], n: int, source: str, style: str) -> tuple[int, str]:
+    """(line after it, HTML) of the list that begins at a line: an item holds what is indented to its text, lists and code included.
+
+    A list is loose, its paragraphs marked as such, if blank lines stand between its items or within one.
+    """
+    first = ITEM.match(lines[n])
+    assert first is not None
+    kind, level = first[2][-1], len(first[1])
+    items: list[list[str]] = []
+    loose = blank = False
+    width = 0
+    while n < len(lines):
+        line = lines[n]
+        item = ITEM.match(line)
+        indent = len(line) - len(line.lstrip(" "))
+        if not line.strip():
+            blank = True
+            items[-1].append("")
+        elif items and indent >= width:
+            loose |= blank and bool(items[-1])
+            items[-1].append(line[width:])
+            blank = False
+        elif item and item[2][-1] == kind and not md.THEMATIC.match(line) and len(item[1]) <= level + 1:
+            loose |= blank
+            text = item[3] or ""
+            width = len(line) - len(line[len(item[1]) + len(item[2]) :].lstrip(" ")) if text else indent + len(item[2]) + 1
+            items.append([text])
+            blank = False
+        elif not blank and not item and items and items[-1][-1].strip() and not any(p.match(line) for p in (md.ATX, md.FENCE_LINE, md.THEMATIC)) and not line.startswith((">", "|")):
+            items[-1].append(line.strip())
+        else:
+            break
+        n += 1
+    tag = "ol" if first[2][0].isdigit() else "ul"
+    start = f' start="{int(first[2][:-1])}"' if tag == "ol" and int(first[2][:-1]) != 1 else ""
+    shown = "".join(f"<li>{render(chr(10).join(x).rstrip(), source, style, tight=not loose)}</li>" for x in items)
+    return n, f"<{tag}{start}>{shown}</{tag}>"
+
+
+def render(body: str, source: str = "", style: str = "pretty", tight: bool = False) -> str:
+    """Headings with ids, paragraphs, lists, quotes, tables, rules and fenced code; the paragraphs of a tight list's items are bare."""
     slugs = {line: (level, text, slug) for line, level, text, slug in md.headings(body)}
     out: list[str] = []
     paragraph: list[str] = []
@@ -50,7 +92,8 @@ def render(body: str, source: str = "", style: str = "pretty") -> str:
 
     def flush() -> None:
         if paragraph:
-            out.append(f"<p>{inline(' '.join(paragraph), source, style)}</p>")
+            shown = inline(" ".join(paragraph), source, style)
+            out.append(shown if tight else f"<p>{shown}</p>")
             paragraph.clear()
 
     n = 0
@@ -80,19 +123,15 @@ def render(body: str, source: str = "", style: str = "pretty") -> str:
             row = lambda r, tag: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in r) + "</tr>"
             out.append(f"<table>{row(cells[0], 'th')}{''.join(row(r, 'td') for r in cells[1:])}</table>")
             n = end
-        elif (item := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", line)) is not None:
+        elif ITEM.match(line) and not (paragraph and not ITEM.match(line)[3].strip()):
             flush()
-            tag = "ol" if line.lstrip()[0].isdigit() else "ul"
-            items = []
-            while n < len(lines) and (item := re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", lines[n])) is not None:
-                items.append(f"<li>{inline(item[1], source, style)}</li>")
-                n += 1
-            out.append(f"<{tag}>{''.join(items)}</{tag}>")
+            n, markup = listed(lines, n, source, style)
+            out.append(markup)
         elif line.startswith(">"):
             flush()
             quoted = []
             while n < len(lines) and lines[n].startswith(">"):
-                quoted.append(lines[n][1:].strip())
+                quoted.append(lines[n][2 if lines[n][1:2] == " " else 1 :].rstrip())
                 n += 1
             out.append(f"<blockquote>{render(chr(10).join(quoted), source, style)}</blockquote>")
         else:
@@ -141,10 +180,15 @@ def manifest(site: DataFrame) -> DataFrame:
 
 
 def formatted(text: str) -> str:
-    """Markdown with line ends, blank lines, heading marks and table padding made uniform; code is left alone."""
+    """Markdown with line ends, blank lines, heading marks and table padding made uniform; code, and query blocks with their tables, are left alone."""
     out: list[str] = []
     fence = ""
-    for line in text.replace("\r\n", "\n").split("\n"):
+    text = text.replace("\r\n", "\n")
+    shielded = {n for a, b in md.spans(md.SPARQL_BLOCK, text) for n in range(text.count("\n", 0, a), text.count("\n", 0, b) + 1)}
+    for n, line in enumerate(text.split("\n")):
+        if n in shielded:
+            out.append(line)
+            continue
         mark = md.FENCE_LINE.match(line)
         if fence:
             out.append(line)
