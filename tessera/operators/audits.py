@@ -18,7 +18,7 @@ from ..sources.corpus import flat_map
 from ..sources.frontmatter import Config, expand, metadata, route_of, split_markdown, types_of
 from . import documents
 from .closure import transitive
-from .lineage import cut
+from .lineage import cut, stored
 
 IMAGE = re.compile(r"!\[[^\]\n]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
 #: Keys of metadata whose values are files, beside all that end in "image".
@@ -46,24 +46,23 @@ def asset_path(target: str, path: str) -> str | None:
     return None if found == ".." or found.startswith("../") else found
 
 
+def shown_files(path: str, data: dict | None, body: str) -> Iterator[tuple[str, str, str | None]]:
+    """(kind, raw target, asset) of a document's images and of the files that its metadata name."""
+    if path.lower().endswith(".md"):
+        code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
+        for m in IMAGE.finditer(body):
+            if not md.overlaps(*m.span(), code) and not md.EXTERNAL.match(m[1]):
+                yield "image", m[1], asset_path(m[1], path)
+    for key, value in (data or {}).items():
+        if str(key).lower() in IMAGE_KEYS or str(key).lower().endswith("image"):
+            for v in value if isinstance(value, list) else [value]:
+                if isinstance(v, str) and not md.EXTERNAL.match(v):
+                    yield "metadata", v, asset_path(v, path)
+
+
 def asset_references(files: DataFrame) -> DataFrame:
     """(route, kind, raw_target, asset): files that bodies show, outside code, and that metadata name; external ones aside."""
-
-    def rows(path: str, text: str) -> Iterator[tuple]:
-        data, body = metadata(path, text)
-        route = route_of(path)
-        if path.lower().endswith(".md"):
-            code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
-            for m in IMAGE.finditer(body):
-                if not md.overlaps(*m.span(), code) and not md.EXTERNAL.match(m[1]):
-                    yield route, "image", m[1], asset_path(m[1], path)
-        for key, value in (data or {}).items():
-            if str(key).lower() in IMAGE_KEYS or str(key).lower().endswith("image"):
-                for v in value if isinstance(value, list) else [value]:
-                    if isinstance(v, str) and not md.EXTERNAL.match(v):
-                        yield route, "metadata", v, asset_path(v, path)
-
-    return flat_map(files.select("path", "text"), "route string, kind string, raw_target string, asset string", lambda p, t: list(rows(p, t)))
+    return flat_map(files.select("path", "text"), "route string, kind string, raw_target string, asset string", lambda p, t: [(route_of(p), *x) for x in shown_files(p, *metadata(p, t))])
 
 
 def below(path: F.Column, folders: Sequence[str]) -> F.Column:
@@ -100,14 +99,43 @@ def wiki_names(value) -> Iterator[str]:
             yield from wiki_names(inner)
 
 
+def named_documents(data: dict | None) -> list[tuple[str, str]]:
+    """(raw target, target route) of wiki: names in metadata."""
+    return [(name, name[5:].partition("#")[0].removesuffix(".md")) for name in wiki_names(data or {})]
+
+
 def metadata_references(files: DataFrame) -> DataFrame:
     """(source_route, raw_target, target_route) of wiki: names in metadata."""
+    return flat_map(files.select("path", "text"), "source_route string, raw_target string, target_route string", lambda p, t: [(route_of(p), *x) for x in named_documents(metadata(p, t)[0])])
 
-    def rows(path: str, text: str) -> list[tuple]:
-        data, _ = metadata(path, text)
-        return [(route_of(path), name, name[5:].partition("#")[0].removesuffix(".md")) for name in wiki_names(data or {})]
 
-    return flat_map(files.select("path", "text"), "source_route string, raw_target string, target_route string", rows)
+PARSED = """path string, route string, headings array<struct<line: int, level: int, text: string, slug: string>>,
+    links array<struct<kind: string, raw_target: string, target_route: string, fragment: string, start: int, end: int>>, breaks array<int>, wiki_links array<int>,
+    references array<struct<raw_target: string, target_route: string>>, assets array<struct<kind: string, raw_target: string, asset: string>>"""
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """What all rules on texts look at, a row per document: each text is read once, and kept as a table."""
+    named_fields = lambda names, rows: [dict(zip(names, r, strict=True)) for r in rows]
+
+    def rows(path: str, text: str) -> list[tuple]:
+        (data, rest), body = metadata(path, text), split_markdown(text)[1]
+        route, is_page = route_of(path), path.endswith(".md")
+        links = md.links(body, route) if is_page else []
+        return [
+            (
+                path,
+                route,
+                named_fields(("line", "level", "text", "slug"), md.headings(body)),
+                named_fields(("kind", "raw_target", "target_route", "fragment", "start", "end"), links),
+                documents.break_lines(body),
+                documents.wiki_link_lines(body) if is_page else [],
+                named_fields(("raw_target", "target_route"), named_documents(data)),
+                named_fields(("kind", "raw_target", "asset"), shown_files(path, data, rest)),
+            )
+        ]
+
+    return stored(flat_map(files.select("path", "text"), PARSED, rows), "parsed")
 
 
 def broken_metadata(references: DataFrame, routes: DataFrame) -> DataFrame:
@@ -241,9 +269,8 @@ def check(files: DataFrame, config: Config, violations: DataFrame, schemas: Data
     unsafe = documents.route_safety(files).select(F.lit("route_safety").alias("code"), "route", "message")
     pages = files.select(F.col("path").alias("source"), F.concat(documents.route(F.col("path")), F.lit(".html")).alias("output_path"))
     outputs = pages.unionByName(asset_manifest(others, folders).select("source", "output_path")) if folders else pages
-    none_unsafe = unsafe.agg(F.count(F.lit(1)).alias("unsafe")).where("unsafe = 0")
-    # One row of a count decides, so this is no product of tables.
-    collisions = documents.output_collisions(outputs).join(F.broadcast(none_unsafe), F.lit(True), "left_semi")
+    # Routes are made of paths alone, so to look for an unsafe one first is cheap.
+    collisions = documents.output_collisions(outputs if unsafe.isEmpty() else outputs.limit(0))
     broken = violations.select(F.lit("shacl_violation").alias("code"), F.col("focus").alias("route"), F.concat_ws(" ", "component", "path", "value", "message").alias("message"))
     found = [
         unsafe,
@@ -259,14 +286,18 @@ def check(files: DataFrame, config: Config, violations: DataFrame, schemas: Data
 
 def lint(files: DataFrame, others: DataFrame, folders: Sequence[str] = (), filename_pattern: str = r"[^\s]+", wanted: DataFrame | None = None) -> DataFrame:
     """(code, route, line, message) of what could be written better; unsafe routes alone where there are any."""
-    heads = documents.headings(files)
-    line = lambda df, code, message: df.select(F.lit(code).alias("code"), "route", F.col("line").cast("int").alias("line"), message.alias("message"))
-    whole = lambda df, code, route, message: df.select(F.lit(code).alias("code"), route.alias("route"), F.lit(None).cast("int").alias("line"), message.alias("message"))
     unsafe = documents.route_safety(files)
-    routes = files.select(documents.route(F.col("path")).alias("route"))
-    links = documents.broken_links(documents.links(files), routes, heads.select("route", "slug"))
-    named_there = broken_metadata(metadata_references(files), routes)
-    shown = broken_assets(asset_references(files), others, folders)
+    whole = lambda df, code, route, message: df.select(F.lit(code).alias("code"), route.alias("route"), F.lit(None).cast("int").alias("line"), message.alias("message"))
+    if not unsafe.isEmpty():
+        return whole(unsafe, "route_safety", F.col("route"), F.col("message"))
+    line = lambda df, code, message: df.select(F.lit(code).alias("code"), "route", F.col("line").cast("int").alias("line"), message.alias("message"))
+    texts = parsed(files)
+    heads = texts.select("route", F.inline("headings"))
+    routes = texts.select("route")
+    page_links = texts.select(F.col("route").alias("source_route"), F.inline("links"))
+    links = documents.broken_links(page_links, routes, heads.select("route", "slug"))
+    named_there = broken_metadata(texts.select(F.col("route").alias("source_route"), F.inline("references")), routes)
+    shown = broken_assets(texts.select("route", F.inline("assets")), others, folders)
     parts = [
         whole(links, "broken_links", F.col("source_route"), F.concat_ws(" ", "issue", "raw_target")),
         whole(named_there, "broken_links", F.col("source_route"), F.concat_ws(" ", F.lit("missing_document"), "raw_target")),
@@ -275,12 +306,10 @@ def lint(files: DataFrame, others: DataFrame, folders: Sequence[str] = (), filen
         line(documents.heading_style(heads), "headings", F.col("issue")),
         line(documents.heading_level_skips(heads), "heading_levels", F.concat_ws(" to ", "from_level", "to_level")),
         line(documents.duplicate_headings(heads), "duplicate_headings", F.col("text")),
-        line(documents.thematic_breaks(files), "thematic_breaks", F.lit("")),
-        line(documents.link_style(files), "link_style", F.lit("")),
+        line(texts.select("route", F.explode("breaks").alias("line")), "thematic_breaks", F.lit("")),
+        line(texts.select("route", F.explode("wiki_links").alias("line")), "link_style", F.lit("")),
     ]
-    found = selected(reduce(DataFrame.unionByName, parts), wanted)
-    none_unsafe = unsafe.agg(F.count(F.lit(1)).alias("unsafe")).where("unsafe = 0")
-    return found.join(F.broadcast(none_unsafe), F.lit(True), "left_semi").unionByName(whole(unsafe, "route_safety", F.col("route"), F.col("message")))
+    return selected(reduce(DataFrame.unionByName, parts), wanted)
 
 
 def preflight(checked: DataFrame, linted: DataFrame, stale: DataFrame, check_severities: dict[str, str] | None = None, lint_severities: dict[str, str] | None = None, strict: bool = False) -> DataFrame:

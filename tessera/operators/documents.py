@@ -82,21 +82,21 @@ def heading_style(found: DataFrame) -> DataFrame:
     return found.select("route", "line", issue.alias("issue")).where(F.col("issue").isNotNull())
 
 
-def thematic_breaks(files: DataFrame) -> DataFrame:
-    """(route, line) of rules that are no underlines of headings and not in code."""
+def break_lines(body: str) -> list[int]:
+    """Lines of rules that are no underlines of headings and not in code."""
+    code = md.spans(md.FENCED, body)
+    out, at, before = [], 0, ""
+    for n, line in enumerate(body.split("\n"), 1):
+        if md.THEMATIC.match(line) and not md.overlaps(at, at + len(line), code) and not (re.match(r"^ {0,3}-+\s*$", line) and before.strip()):
+            out.append(n)
+        at += len(line) + 1
+        before = line
+    return out
 
-    def rows(path: str, text: str) -> list[tuple]:
-        body = split_markdown(text)[1]
-        code = md.spans(md.FENCED, body)
-        out, at, before = [], 0, ""
-        for n, line in enumerate(body.split("\n"), 1):
-            if md.THEMATIC.match(line) and not md.overlaps(at, at + len(line), code) and not (re.match(r"^ {0,3}-+\s*$", line) and before.strip()):
-                out.append((route_of(path), n))
-            at += len(line) + 1
-            before = line
-        return out
 
-    return flat_map(files.select("path", "text"), "route string, line int", rows)
+def thematic_breaks(files: DataFrame) -> DataFrame:
+    """(route, line) of rules in bodies."""
+    return flat_map(files.select("path", "text"), "route string, line int", lambda p, t: [(route_of(p), n) for n in break_lines(split_markdown(t)[1])])
 
 
 def filename_issues(files: DataFrame, pattern: str) -> DataFrame:
@@ -115,15 +115,14 @@ def links(files: DataFrame) -> DataFrame:
     return flat_map(files.where(F.col("path").endswith(".md")).select("path", "text"), "source_route string, kind string, raw_target string, target_route string, fragment string, start int, end int", rows)
 
 
-def link_style(files: DataFrame) -> DataFrame:
-    """(route, line) of wiki links outside code, where plain links are the style."""
+def wiki_link_lines(body: str) -> list[int]:
+    code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
+    return [md.line_column(body, m.start())[0] for m in md.WIKILINK.finditer(body) if not md.overlaps(*m.span(), code)]
 
-    def rows(path: str, text: str) -> list[tuple]:
-        body = split_markdown(text)[1]
-        code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
-        return [(route_of(path), md.line_column(body, m.start())[0]) for m in md.WIKILINK.finditer(body) if not md.overlaps(*m.span(), code)]
 
-    return flat_map(files.where(F.col("path").endswith(".md")).select("path", "text"), "route string, line int", rows)
+def link_style(files: DataFrame) -> DataFrame:
+    """(route, line) of wiki links outside code, where plain links are the style."""
+    return flat_map(files.where(F.col("path").endswith(".md")).select("path", "text"), "route string, line int", lambda p, t: [(route_of(p), n) for n in wiki_link_lines(split_markdown(t)[1])])
 
 
 def backlinks(found: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..corpus import Corpus
 from ..operators import audits, documents, shacl
 from ..operators import pages as site
+from ..sources import corpus
+from ..sources.quads import default_union
+from .graphs import schema_quads
 from .mapping import table
 from .texts import CONFIG, SCHEMA, WIKI, lines, nation_pages, odd_path, suggestion_pages, wiki
 
@@ -57,6 +60,19 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.check(pages(spark, sf_dir), CONFIG, spark.createDataFrame([], shacl.REPORT), schemas(spark), others(spark), FOLDERS)
 
 
+def check_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' pages without a name break a shape, and the check reports it beside its own findings."""
+    found = pages(spark, sf_dir)
+    shape = "ex:S a sh:NodeShape ; sh:targetClass schema:Customer ; sh:property [ sh:path schema:name ; sh:minCount 1 ; sh:message \"no name\" ] ."
+    violations = shacl.validate(default_union(corpus.quads(found, CONFIG)), schema_quads(spark, shape))
+    return audits.check(found, CONFIG, violations, schemas(spark), others(spark), FOLDERS).where("code IN ('shacl_violation', 'missing_layout_file')").select("code", "route", "message")
+
+
+def lint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule finds something in pages that break all but one of them."""
+    return audits.lint(wiki(spark, sf_dir), spark.createDataFrame([], "path string")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def linted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.lint(pages(spark, sf_dir), others(spark), FOLDERS)
 
@@ -175,6 +191,16 @@ ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         fix_edits,
         "SELECT concat('pages/p', k, '.md') AS path, concat('---', chr(10), 'name: x', chr(10), '---', chr(10), 'See [[new/n', k, '#top|it]] and [that](../new/n', k, '.md#part), not [far](http://e.org/old/', k, '.md).', chr(10)) AS text FROM (SELECT n_nationkey AS k FROM nation)",
     ),
+    "check_shapes": (
+        check_shapes,
+        f"SELECT 'shacl_violation' AS code, concat('{WIKI}customers/', c_custkey) AS route, 'minCount https://schema.org/name no name' AS message FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'missing_layout_file', {ROUTE}, 'layouts/none.html' FROM customer WHERE c_custkey % 11 = 0",
+    ),
+    "lint_rules": (
+        lint_rules,
+        """SELECT code, n FROM (SELECT unnest([{'code': 'broken_links', 'n': 2 * count(*) FILTER (c_custkey % 7 = 0) + (SELECT count(*) FROM nation)}, {'code': 'headings', 'n': count(*) FILTER (c_custkey % 9 IN (0, 2))},
+        {'code': 'heading_levels', 'n': count(*) FILTER (c_custkey % 5 = 0)}, {'code': 'duplicate_headings', 'n': count(*) FILTER (c_custkey % 4 = 0)}, {'code': 'thematic_breaks', 'n': count(*) FILTER (c_custkey % 6 = 0)},
+        {'code': 'link_style', 'n': count(*) + count(*) FILTER (c_custkey % 7 = 0)}], recursive := true) FROM customer)""",
+    ),
     "page_categories": (
         lambda s, d: site.categories(pages(s, d)),
         f"SELECT {ROUTE} AS route, 0 AS position, CASE WHEN c_custkey % 11 = 0 THEN 'none' ELSE 'page' END AS category FROM customer UNION ALL SELECT {ROUTE}, 1, 'Customer' FROM customer UNION ALL SELECT concat('nations/', n_nationkey), 0, 'Nation' FROM nation UNION ALL SELECT 'bindings/' || unnest(['customer', 'nation']), 0, 'Binding'",
