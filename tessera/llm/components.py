@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let_go
 
 #: Rounds before giving up; each at least halves the nodes that still have edges.
 ROUNDS = 60
@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
             up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
             hooks = found.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
         found = checkpointed(hooks, 2 * rows)
+        let_go(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     if found is None:
