@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import results
+from .functions import names, results
 from .operators import audits, documents, shacl, summary
-from .operators.inference import infer
+from .operators.inference import inconsistencies, infer
+from .operators.lineage import cut
 from .plans.compiler import Compiler, Result
 from .sources import corpus as source
 from .sources.frontmatter import Config
@@ -26,8 +27,16 @@ class Corpus:
     config: Config
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, config: Config | None = None, exclude: list[str] | None = None) -> Corpus:
-        return cls(spark, source.scan(spark, root, exclude), config or Config())
+    def load(cls, spark: SparkSession, root: str, config: Config | None = None, exclude: list[str] | None = None, sources: Mapping[str, str] | None = None) -> Corpus:
+        """The files below a root, and those of other sources (name: folder), whose statements are graphs of their own."""
+        config = config or Config()
+        files = source.scan(spark, root, exclude)
+        if sources:
+            graph = lambda name: names.source_graph(F.lit(name).cast("string"), config.base_iri)
+            files = files.withColumn("g", graph(None))
+            for name, folder in sources.items():
+                files = files.unionByName(source.scan(spark, folder, exclude).withColumn("g", graph(name)))
+        return cls(spark, files, config)
 
     def dataset(self, inference: bool = False) -> DataFrame:
         """Quads with their graphs; inference stays within each graph."""
@@ -62,6 +71,15 @@ class Corpus:
         """Violations of the shapes in the data, after inference."""
         return shacl.validate(self.graph(inference=True))
 
+    def shacl_documents(self) -> DataFrame:
+        """(g, focus, ...): the violations of every document's own metadata, each taken by itself, under all shapes of the corpus."""
+        told = self.document_quads().drop("g").withColumnRenamed("route", "g")
+        return shacl.validate_documents(infer(told, per_graph=True), self.graph())
+
+    def inconsistencies(self) -> DataFrame:
+        """(rule, s, detail) of what can't be true together."""
+        return inconsistencies(self.graph())
+
     def links(self) -> DataFrame:
         return documents.links(self.files)
 
@@ -70,11 +88,20 @@ class Corpus:
         return documents.broken_links(self.links(), routes, documents.headings(self.files).select("route", "slug"))
 
     def suggestions(self) -> DataFrame:
-        return documents.suggest_links(self.files, documents.aliases(documents.titles(self.files)))
+        """Mentions that could be links, by page and place."""
+        return documents.suggest_links(self.files, documents.aliases(documents.titles(self.files))).orderBy("source_route", "line", "column")
 
     def fixes(self, renames: dict[str, str] | None = None) -> DataFrame:
         return documents.fix_links(self.broken_links(), self.files.select(documents.route(F.col("path")).alias("route")), renames)
 
+    def fixed(self, renames: dict[str, str] | None = None) -> DataFrame:
+        """(path, text) of the pages whose broken links have one sensible page or heading, with these links mended."""
+        broken = cut(self.broken_links())
+        routes = documents.fix_links(broken, self.files.select(documents.route(F.col("path")).alias("route")), renames)
+        heads = documents.fix_headings(broken, documents.headings(self.files).select("route", "slug"))
+        edits = audits.fix_edits(self.files, routes).unionByName(audits.heading_edits(self.files, heads))
+        return documents.apply_edits(self.files, edits)
+
     def check(self, schemas: DataFrame | None = None, others: DataFrame | None = None, folders: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
         """(code, route, message) of what makes a corpus invalid.
 
@@ -111,13 +138,17 @@ class Corpus:
             tables[text] = results.markdown_table(names, rows, self.config.base_iri, routes)
         return documents.render_blocks(self.documents, tables)
 
+    def document_quads(self) -> DataFrame:
+        """(route, g, s, ...): what each document says, each statement once."""
+        graph, config = self.config.base_iri.rstrip("/") + "/graphs/root", self.config
+        schema = "route string, g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+        told = source.flat_map(self.documents.select("path", "suffix", "text"), schema, lambda path, suffix, text: [(source.frontmatter.route_of(path), *q) for q in source.file_quads(path, suffix, text, graph, config)[0]])
+        return told.distinct()
+
     def export_documents(self, fmt: str = "nquads") -> DataFrame:
         """(route, text): each document's own statements in a format of triples or quads, written where the document is read."""
-        graph, config, fmt = self.config.base_iri.rstrip("/") + "/graphs/root", self.config, results.format_name(fmt)
-        quads = source.flat_map(
-            self.documents.select("path", "suffix", "text"), "route string, g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string",
-            lambda path, suffix, text: [(source.frontmatter.route_of(path), *q) for q in source.file_quads(path, suffix, text, graph, config)[0]],
-        ).distinct()
+        config, fmt = self.config, results.format_name(fmt)
+        quads = self.document_quads()
         if fmt in ("nt", "nquads"):
             lines = quads.select("route", results.line_column(graph=fmt == "nquads").alias("line")).distinct()
             return lines.groupBy("route").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..functions.names import without_accents
 from ..sources.corpus import flat_map, metadata_rows
 from ..sources.frontmatter import Config, route_of, split_markdown
 from . import documents
@@ -107,7 +108,7 @@ def without_wrappers(text: str) -> str:
 
 def route_slug(route: Column) -> Column:
     """Each step of a route as a fragment's name, accents aside."""
-    plain = F.translate(F.lower(route), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = without_accents(F.lower(route))
     step = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_\s-]", ""), r"[\s-]+", "-"), "^-+|-+$", "")
     return F.array_join(F.transform(F.split(plain, "/"), lambda x: F.when(step(x) == "", "section").otherwise(step(x))), "/")
 

@@ -9,6 +9,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import source_graph
 from ..sources.corpus import flat_map
 from .closure import reached
 from .cycles import strong_components
@@ -25,13 +26,12 @@ def source_graphs(files: DataFrame, sources: DataFrame, base: str) -> DataFrame:
     ``sources`` are (name, root). Each folder above a file is looked up, so files are joined by equality and as often as their paths are deep; of two
     sources with one folder the first name has it.
     """
-    graph = F.concat(F.lit(base.rstrip("/") + "/graphs/source/"), "name")
     roots = sources.where("name IS NOT NULL AND root IS NOT NULL").select(F.regexp_replace("root", "^(\\./)+|/+$", "").alias("folder"), "name").groupBy("folder").agg(F.min("name").alias("name"))
     steps = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
     above = files.select("path").distinct().select("path", F.explode(folders).alias("folder"))
-    found = above.join(roots, "folder").groupBy("path").agg(F.max_by(graph, F.length("folder")).alias("g"))
-    return files.join(found, "path", "left").withColumn("g", F.coalesce("g", F.lit(base.rstrip("/") + "/graphs/root")))
+    found = above.join(roots, "folder").groupBy("path").agg(F.max_by("name", F.length("folder")).alias("source"))
+    return files.join(found, "path", "left").withColumn("g", source_graph(F.col("source"), base)).drop("source")
 
 
 def declarations(files: DataFrame, sources: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import audits, documents, provenance
 from ..operators.lineage import scratch
 from ..plans.algebra import TYPE, XSD
@@ -56,6 +57,12 @@ def stored_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Compiler(spark, quads.opened(spark, folder), NAMESPACES, EX).query(question).df
 
 
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a code span, marks and accents in the forms that addresses need."""
+    name = lines("  ", F.col("p_name"), " -- & ", F.col("p_brand"), "! `x y` Éa*~ ")
+    return table(spark, sf_dir, "part").select("p_partkey", names.kebab_case(name).alias("kebab"), names.source_graph(names.without_code(name), EX).alias("graph"), names.without_accents(lines(F.col("p_name"), " Žluťoučký KŮŇ")).alias("plain"))
+
+
 def heading_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -100,6 +107,11 @@ ROWS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         SELECT s, '{EX}' || unnest(['Order', 'Deal', 'Happening']) AS o FROM d UNION ALL SELECT DISTINCT c, '{EX}Partner' FROM d""",
     ),
     "stored_join": (stored_join, f"SELECT {O} AS o, n_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 = 0"),
+    "name_forms": (
+        name_forms,
+        f"""WITH n AS (SELECT p_partkey, p_name, concat('  ', p_name, ' -- & ', p_brand, '! `x y` Éa*~ ') AS x FROM part)
+        SELECT p_partkey, regexp_replace(regexp_replace(trim(lower(x)), '[\\s-]+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS kebab, concat('{EX}graphs/source/', replace(replace(url_encode(replace(x, '`x y`', '')), '%7E', '~'), '+', '%20')) AS graph, concat(p_name, ' Zlutoucky KUN') AS plain FROM n""",
+    ),
     "fix_headings": (
         fix_headings,
         """SELECT concat('customers/', c_custkey, '.md') AS path, concat('---', chr(10), 'name: x', chr(10), '---', chr(10), '# Customer ', c_custkey, chr(10), chr(10), '## Order history', chr(10), chr(10), '## Contact details', chr(10), chr(10),

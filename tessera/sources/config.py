@@ -18,14 +18,20 @@ SECTIONS = {"wiki", "graph", "site", "link", "check", "lint", "sources", "fmt",
 
 @dataclass
 class Project:
-    """What a configuration file says; unknown sections are refused."""
+    """What a configuration file says; unknown sections are refused. A rule that checks and lints share may weigh differently in each."""
+
+    @property
+    def severities(self) -> dict[str, str]:
+        """Both sections' severities; of a rule in both, the lint's."""
+        return self.check_severities | self.lint_severities
 
     graph: Config = field(default_factory=Config)
     inputs: list[str] = field(default_factory=lambda: ["."])
     exclude: list[str] = field(default_factory=list)
     assets: list[str] = field(default_factory=list)
     link_style: str = "standard"
-    severities: dict[str, str] = field(default_factory=dict)
+    check_severities: dict[str, str] = field(default_factory=dict)
+    lint_severities: dict[str, str] = field(default_factory=dict)
     sources: dict[str, dict] = field(default_factory=dict)
 
 
@@ -70,8 +76,8 @@ def load(path: str | None) -> Project:
     config.implicit_types = as_list(graph.get("implicit_types"))
     config.implicit_policy = graph.get("implicit_types_policy", config.implicit_policy)
     config.content_predicate = graph.get("content_predicate")
-    rules = {k: severity(v) for part in ("check", "lint") for k, v in (data.get(part) or {}).items() if isinstance(v, (bool, str)) and not k.startswith("remote")}
-    return Project(config, as_list(wiki.get("inputs")) or ["."], as_list(wiki.get("exclude")), as_list(wiki.get("assets")), (data.get("link") or {}).get("style", "standard"), rules, data.get("sources") or {})
+    check, lint = ({k: severity(v) for k, v in (data.get(part) or {}).items() if isinstance(v, (bool, str)) and not k.startswith("remote")} for part in ("check", "lint"))
+    return Project(config, as_list(wiki.get("inputs")) or ["."], as_list(wiki.get("exclude")), as_list(wiki.get("assets")), (data.get("link") or {}).get("style", "standard"), check, lint, data.get("sources") or {})
 
 
 def lockfile(path: str) -> dict[str, dict]:

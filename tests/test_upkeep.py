@@ -142,3 +142,39 @@ def test_schemas_that_refer_to_others(spark):
     files = spark.createDataFrame([("p.md", page)], "path string, text string")
     found = audits.schema_issues(files, spark.createDataFrame(schemas, "path string, text string"), corpus.Config()).collect()
     assert sorted(r["message"] for r in found) == ["/name $ref: gone.json leads nowhere (schemas/one.json)", "/place required: city is required (schemas/one.json)"]
+
+
+def test_a_corpus_with_sources_shapes_and_fixes(spark, tmp_path):
+    from tessera.corpus import Corpus
+
+    main, other = tmp_path / "main", tmp_path / "dep (1)"
+    main.mkdir()
+    other.mkdir()
+    (main / "Ann_Lee.md").write_text("---\ntype: Person\n---\n# Ann Lee\n\n## Early years\n\nSee [[Ann_Lee#Early yeers]] and [[bob_smit]].\n")
+    (main / "bob_smith.md").write_text("---\ntype: Person\ngivenName: Bob\n---\n# Bob Smith\n\nKnows Ann Lee, and again Ann Lee.\n")
+    (main / "shape.ttl").write_text("@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix schema: <https://schema.org/> . schema:P a sh:NodeShape ; sh:targetClass schema:Person ; sh:property [ sh:path schema:givenName ; sh:minCount 1 ] .")
+    (other / "carl.md").write_text("---\ntype: Person\ngivenName: Carl\n---\n")
+    c = Corpus.load(spark, str(main), sources={"de p": str(other)})
+    assert {r["g"].rpartition("graphs/")[2] for r in c.graphs().collect()} == {"root", "source/de%20p"}
+    assert c.query("SELECT ?s WHERE { ?s a schema:Person }").df.count() == 3
+    assert c.query("SELECT ?s WHERE { GRAPH ?g { ?s a schema:Person } FILTER(CONTAINS(STR(?g), 'source')) }").df.count() == 1
+    assert [(r["g"], r["component"]) for r in c.shacl_documents().collect()] == [("Ann_Lee", "minCount")]
+    assert c.inconsistencies().collect() == []
+    assert [r["text"].rpartition("See ")[2] for r in c.fixed().collect()] == ["[[Ann_Lee#early-years]] and [[bob_smith]].\n"]
+    found = c.suggestions().collect()
+    assert found == sorted(found, key=lambda r: (r["source_route"], r["line"], r["column"])) and found
+
+
+def test_names(spark):
+    from tessera.functions import names
+
+    df = spark.createDataFrame([("John Smith! & Co.",), ("",), ("some--double--dashes",), (None,)], "x string")
+    assert [r[0] for r in df.select(names.kebab_case(F.col("x"))).collect()] == ["john-smith--co", "", "some-double-dashes", None]
+
+
+def test_severities_of_checks_and_lints_differ(tmp_path):
+    from tessera.sources import config
+
+    (tmp_path / "wiki.yml").write_text("check: {broken_links: error}\nlint: {broken_links: false}\n")
+    found = config.load(str(tmp_path))
+    assert (found.check_severities, found.lint_severities) == ({"broken_links": "error"}, {"broken_links": "off"})
