@@ -10,8 +10,8 @@ FENCE_LINE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 THEMATIC = re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
-INLINE_CODE = re.compile(r"`[^`\n]*`")
-FENCED = re.compile(r"```[\s\S]*?```")
+#: A run of backticks, up to the next one of the same length in the line.
+INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]*?)(?<!`)\1(?!`)")
 WIKILINK = re.compile(r"\[\[([^\]|#\n]*)(#[^\]|\n]*)?(?:\|([^\]\n]*))?\]\]")
 MD_LINK = re.compile(r"(?<!!)\[([^\]\n]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
 EXTERNAL = re.compile(r"(?i)^(?:https?|mailto|tel):")
@@ -25,19 +25,37 @@ def slug(text: str) -> str:
     return re.sub(r"[\s-]+", "-", plain).strip("-") or "section"
 
 
+def fenced_lines(lines: list[str]) -> list[bool]:
+    """Whether each line belongs to a fenced block, its fences included; one that is never closed goes on to the end."""
+    out, fence = [], ""
+    for line in lines:
+        mark = FENCE_LINE.match(line)
+        out.append(bool(fence or mark))
+        if fence:
+            fence = "" if mark and mark[1].startswith(fence) and not line.strip(" `~") else fence
+        elif mark:
+            fence = mark[1]
+    return out
+
+
+def code(text: str) -> list[tuple[int, int]]:
+    """The spans of fenced blocks, line by line, and of inline code outside them, in order."""
+    out, at = [], 0
+    lines = text.split("\n")
+    for line, fenced in zip(lines, fenced_lines(lines), strict=True):
+        out += [(at, at + len(line) + 1)] if fenced else [(at + m.start(), at + m.end()) for m in INLINE_CODE.finditer(line)]
+        at += len(line) + 1
+    return out
+
+
 def headings(text: str) -> list[tuple[int, int, str, str]]:
     """(line from 1, level, text, slug) outside fences; slugs met before get -1, -2..."""
-    out, seen, fence = [], {}, ""
+    out, seen = [], {}
     lines = text.split("\n")
     paragraph = ""
-    for n, line in enumerate(lines, 1):
-        mark = FENCE_LINE.match(line)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line.strip(" `~"):
-                fence = ""
-            continue
-        if mark:
-            fence, paragraph = mark[1], ""
+    for n, (line, fenced) in enumerate(zip(lines, fenced_lines(lines), strict=True), 1):
+        if fenced:
+            paragraph = ""
             continue
         atx, under = ATX.match(line), SETEXT.match(line)
         level = 0
@@ -100,16 +118,16 @@ def is_page(target: str) -> bool:
 
 def links(text: str, source: str) -> list[tuple[str, str, str | None, str, int, int]]:
     """(kind, raw target, route, fragment, start, end) of page links, wiki links first, code spans apart."""
-    code = spans(INLINE_CODE, text)
+    inline = spans(INLINE_CODE, text)
     out = []
     for m in WIKILINK.finditer(text):
-        if not overlaps(*m.span(), code):
+        if not overlaps(*m.span(), inline):
             target = m[1].strip()
             fragment = (m[2] or "")[1:].strip()
             out.append(("wiki", target, target or source, slug(unquote(fragment)) if fragment else "", *m.span()))
     for m in MD_LINK.finditer(text):
         target, _, fragment = m[2].partition("#")
-        if overlaps(*m.span(), code) or EXTERNAL.match(m[2]) or not is_page(target):
+        if overlaps(*m.span(), inline) or EXTERNAL.match(m[2]) or not is_page(target):
             continue
         out.append(("markdown", m[2], resolve(target, source) if target else source, slug(unquote(fragment)) if fragment else "", *m.span()))
     return out
@@ -142,7 +160,7 @@ def mentions(text: str, aliases: dict[str, str], source: str) -> list[tuple[str,
     if not aliases:
         return []
     pattern = re.compile(r"(?<![^\W_])(?<![\w-])(?:" + "|".join(re.escape(a) for a in sorted(aliases, key=lambda a: -len(a))) + r")(?![\w-])", re.I)
-    guarded = merged(spans(FENCED, text) + spans(INLINE_CODE, text) + spans(WIKILINK, text) + spans(MD_LINK, text))
+    guarded = merged(code(text) + spans(WIKILINK, text) + spans(MD_LINK, text))
     out = []
     for m in pattern.finditer(text):
         route = aliases.get(m[0].casefold())

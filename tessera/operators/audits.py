@@ -49,7 +49,7 @@ def asset_path(target: str, path: str) -> str | None:
 def shown_files(path: str, data: dict | None, body: str) -> Iterator[tuple[str, str, str | None]]:
     """(kind, raw target, asset) of a document's images and of the files that its metadata name."""
     if path.lower().endswith(".md"):
-        code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
+        code = md.code(body)
         for m in IMAGE.finditer(body):
             if not md.overlaps(*m.span(), code) and not md.EXTERNAL.match(m[1]):
                 yield "image", m[1], asset_path(m[1], path)

@@ -84,12 +84,11 @@ def heading_style(found: DataFrame) -> DataFrame:
 
 def break_lines(body: str) -> list[int]:
     """Lines of rules that are no underlines of headings and not in code."""
-    code = md.spans(md.FENCED, body)
-    out, at, before = [], 0, ""
-    for n, line in enumerate(body.split("\n"), 1):
-        if md.THEMATIC.match(line) and not md.overlaps(at, at + len(line), code) and not (re.match(r"^ {0,3}-+\s*$", line) and before.strip()):
+    lines = body.split("\n")
+    out, before = [], ""
+    for n, (line, fenced) in enumerate(zip(lines, md.fenced_lines(lines), strict=True), 1):
+        if not fenced and md.THEMATIC.match(line) and not (re.match(r"^ {0,3}-+\s*$", line) and before.strip()):
             out.append(n)
-        at += len(line) + 1
         before = line
     return out
 
@@ -116,7 +115,7 @@ def links(files: DataFrame) -> DataFrame:
 
 
 def wiki_link_lines(body: str) -> list[int]:
-    code = md.spans(md.FENCED, body) + md.spans(md.INLINE_CODE, body)
+    code = md.code(body)
     return [md.line_column(body, m.start())[0] for m in md.WIKILINK.finditer(body) if not md.overlaps(*m.span(), code)]
 
 

@@ -25,7 +25,7 @@ def inline(text: str, source: str, style: str) -> str:
         held.append(markup)
         return f"\x00{len(held) - 1}\x00"
 
-    text = md.INLINE_CODE.sub(lambda m: keep(f"<code>{html.escape(m[0][1:-1])}</code>"), text)
+    text = md.INLINE_CODE.sub(lambda m: keep(f"<code>{html.escape(m[2])}</code>"), text)
     text = md.WIKILINK.sub(lambda m: keep(f'<a href="{page_url(m[1].strip(), style) if m[1].strip() else ""}{"#" + md.slug(m[2][1:]) if m[2] else ""}">{html.escape((m[3] or m[1] or (m[2] or "")[1:]).strip())}</a>'), text)
 
     def link(m: re.Match) -> str:

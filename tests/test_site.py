@@ -28,3 +28,14 @@ def test_lists(text, html):
 def test_query_blocks_keep_their_form():
     block = "<!-- sparql:start -->\n```sparql\nSELECT  ?x\n\n\n```\n|a|b |\n|-|-|\n<!-- sparql:end -->"
     assert site.formatted(f"#  A  #\n\n\n{block}\n\n\n|a|b |\n") == f"# A\n\n{block}\n\n| a | b |\n"
+
+
+def test_code_is_found_line_by_line():
+    from tessera.functions import markdown as md
+    from tessera.operators import documents
+
+    text = "a `x` b ``y ` z``\n~~~\n---\n[[w]]\n~~~~\nafter [[q]]\n```\n---\n[[never closed]]"
+    assert [text[a:b].rstrip("\n") for a, b in md.code(text)][:3] == ["`x`", "``y ` z``", "~~~"]
+    assert documents.wiki_link_lines(text) == [6] and documents.break_lines(text) == []
+    assert [m[0] for m in md.mentions("See `Blue Sky` and Blue Sky.\n~~~\nBlue Sky\n~~~\n", {"blue sky": "b"}, "a")] == ["Blue Sky"]
+    assert site.inline("``a`b``", "", "pretty") == "<code>a`b</code>"
