@@ -17,6 +17,7 @@ def jumped(hooks: DataFrame, rows: int) -> DataFrame:
         up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = checkpointed(hooks.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), rows)
         hooks = step.select("node", "label")
+        let_go(step.sparkSession)
         if step.where("moved").isEmpty():
             return hooks
     raise RuntimeError(f"labels did not settle in {ROUNDS} rounds")
@@ -27,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its least smaller neighbour, follows the hooks to their ends, and keeps the edges
     between different ends. Chains settle in one round, so edges are joined about once, however large a group is.
-    What is found is written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm.
+    What is found is written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm. Each round's
+    shuffle files and plans are let go at once, so the driver's memory and the disk don't grow with the rounds.
     """
     left = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     rows = left.count()
@@ -44,7 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
             up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
             hooks = found.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
         found = checkpointed(hooks, 2 * rows)
-        let_go(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     if found is None:

@@ -150,3 +150,12 @@ def test_token_counts(spark):
         assert r["tokens_fit"] == sum(s for s in sizes if s <= limit)
         assert r["share_fit"] == pytest.approx(r["docs_fit"] / len(sizes))
     assert token_counts.context_limits(token_counts.histogram(frame(spark, ODD).limit(0), BYTE)).count() == 0
+
+
+def test_empty_tables(spark):
+    from tessera.llm import bpe, media
+    from tessera.llm.queries import BYTE_BPE
+
+    none = spark.createDataFrame([], "doc_id long, text string, n int")
+    assert bpe.roundtrip(none, BYTE_BPE, bpe.digests, "n_tokens long, ids_sha256 string, decoded_sha256 string").collect() == []
+    assert media.text_media(none).collect() == []
