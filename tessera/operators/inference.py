@@ -44,7 +44,8 @@ class Closure:
         self.keys = ["g"] if per_graph else []
         self.columns = [*self.keys, *FACT]
         self.classes: DataFrame | None = None
-        self.given = encoded(quads, self.keys)
+        # A row that lacks a part says nothing.
+        self.given = encoded(quads, self.keys).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
         self.parts = [self.part(self.given.distinct())]
         new, whole = self.parts[0], True
         rules: Rules | None = None

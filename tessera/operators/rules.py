@@ -44,12 +44,11 @@ class Rules:
         self.schema = stored(known.where(in_schema()).select(*keys, *FACT).distinct(), "schema")
         # Bounded by the fixed lists above.
         self.present = {r[0] for r in self.schema.select(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p"))).distinct().collect()}
-        #: The vocabulary: what a change of representatives must not touch without the rules being made anew.
-        predicates = stored(known.selectExpr("p AS node").distinct(), "predicates")
-        self.names = stored(self.schema.selectExpr("s AS node").union(self.schema.where(is_node()).selectExpr("o")).union(predicates).distinct(), "names")
+        self._known, self._predicates, self._names = known, None, None
         self.lists = self.positions(known) if self.present & set(LISTS) else None
         equal = None
         if classes is not None:
+            predicates = self.predicates
             mine = classes.select(*keys, F.col("node").alias("x"), F.col("rep").alias("y"))
             equal = mine.join(predicates.withColumnRenamed("node", "x"), "x", "left_semi").unionByName(mine.join(predicates.withColumnRenamed("node", "y"), "y", "left_semi"))
         self.sub_class = self.closed(RDFS + "subClassOf", OWL + "equivalentClass", None)
@@ -57,6 +56,19 @@ class Rules:
 
     # Schema tables.
 
+    @property
+    def predicates(self) -> DataFrame:
+        if self._predicates is None:
+            self._predicates = stored(self._known.selectExpr("p AS node").distinct(), "predicates")
+        return self._predicates
+
+    @property
+    def names(self) -> DataFrame:
+        """The vocabulary: what a change of representatives must not touch without the rules being made anew."""
+        if self._names is None:
+            self._names = stored(self.schema.selectExpr("s AS node").union(self.schema.where(is_node()).selectExpr("o")).union(self.predicates).distinct(), "names")
+        return self._names
+
     def pairs(self, p: str) -> DataFrame:
         return self.schema.where(F.col("p") == p).select(*self.keys, F.col("s").alias("x"), F.col("o").alias("y"))
 

@@ -150,6 +150,12 @@ def test_a_schema_that_follows(spark):
     assert {(E + "x", TYPE, E + "B"), (E + "x", TYPE, E + "C"), (E + "A", SUB, E + "C")} <= plain(inference.infer(frame(spark, given)))
 
 
+def test_rows_that_lack_a_part_say_nothing(spark):
+    given = {(E + "x", E + "p", E + "y"), (E + "p", SUBP, E + "q")}
+    odd = spark.createDataFrame([(E + "x", "iri", E + "p", None, "iri", None, None), (None, "iri", E + "p", E + "y", "iri", "", "")], QUAD)
+    assert plain(inference.infer(frame(spark, given).unionByName(odd))) == given | {(E + "x", E + "q", E + "y")}
+
+
 def test_large_class_needs_no_pairs(spark, monkeypatch):
     written = []
     monkeypatch.setattr(inference, "stored", lambda df, name: written.append((name, (out := lineage.stored(df, name)).count())) or out)
