@@ -187,11 +187,12 @@ def met(pairs: DataFrame, meeting: int, radius: int = RADIUS) -> DataFrame:
     return sorted_runs.mapInArrow(work, "a long, b long")
 
 
-def links(fps: DataFrame, meeting: int = MEETING, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that connect all fingerprints of (fp) which a chain of distances of ``radius`` or less connects."""
+def links(fps: DataFrame, meeting: int = MEETING, radius: int = RADIUS, size: int | None = None) -> DataFrame:
+    """(a, b): links that connect all fingerprints of (fp), about ``size``, which a chain of distances of ``radius`` or less connects."""
     # Fingerprints are few bytes and their variants many, so they are spread before.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    found = checkpointed(met(variants(spread, radius), meeting, radius))
+    # Links are few beside the variants that they come from, so their files may be.
+    found = checkpointed(met(variants(spread, radius), meeting, radius), None if size is None else 16 * size)
     close = found.where(F.col("b").isNotNull())
     crowd = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     if crowd.limit(1).count():
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = RADIUS, id
         raise ValueError("radius must be 1 to 6")
     marked = checkpointed(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fp"), meeting, radius))
+    found = components(links(nodes.select("fp"), meeting, radius, marked.count()))
     known = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.select("fp", "component").join(leasts, "component").select("fp", "component_id")
