@@ -110,10 +110,11 @@ def as_kind(v: Value, kind: Kind) -> Column:
 
 @dataclass
 class Rel:
-    """Solutions: a column v_<name> for each variable."""
+    """Solutions: a column v_<name> for each variable. ``none`` says that there are none, where that is known beforehand."""
 
     df: DataFrame
     kinds: dict[str, Kind]
+    none: bool = False
 
     def value(self, var: str) -> Value:
         return Value(F.col(name(var)), self.kinds[var])

@@ -384,7 +384,7 @@ class Compiler:
                 for step in steps:
                     triple = Triple(Var(at), step, Var(to)) if end == t.s else Triple(Var(to), step, Var(at))
                     edges = self.p_bgp([triple], graph, {at: part.kinds[at]})
-                    if at in edges.kinds and to in edges.kinds:
+                    if at in edges.kinds and to in edges.kinds and not edges.none:
                         led = join(part, edges.pick([at, to]))
                         fresh.setdefault(led.kinds[to], []).append(led.df.select(F.col(name(origin)), F.col(name(to)).alias(name(at))))
             frontier = []

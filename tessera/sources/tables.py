@@ -106,7 +106,7 @@ class Tables:
             return reduce(union, found)
         names = list(dict.fromkeys(x.name for x in (subject, graph, *(y for pair in pairs for y in pair)) if isinstance(x, Var)))
         columns = [F.lit(None).cast("string").alias(name(v)) for v in names]
-        return Rel(self.spark.range(0).select(*columns), dict.fromkeys(names, IRI))
+        return Rel(self.spark.range(0).select(*columns), dict.fromkeys(names, IRI), none=True)
 
     @staticmethod
     def apart(known: dict[str, Kind], term: Term, template: str) -> bool:
