@@ -38,7 +38,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: Jaccard similarity of 0.8 over five-word shingles.
 
-    Copies at 0.8 are 7 bits apart in the median, out of reach of a ball, so the operator chooses pairs by minimal hashes here.
+    SimHash and its balls choose the pairs first, and the sets of shingles decide. Copies at 0.8 are 7 bits apart in the median, out of
+    reach of a ball, so minimal hashes choose from what is left.
     """
     return simhash.keep_first(docs.select(*COLUMNS), words=5, percent=80)
 

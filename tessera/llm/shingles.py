@@ -1,13 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash only chooses the pairs to compare.
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash and its balls first, minimal hashes for what no ball reaches.
 
-Texts with one set of shingles are one node. A node's 160 minimal hashes make 32 bands of five; two nodes at similarity
-0.8 share no band with a chance of 0.672 ** 32, or 3 in a million. One byte of each minimal hash is kept as the node's sketch: the share
-of equal bytes estimates the similarity with a standard deviation of 0.03.
+Texts with one set of shingles are one node, and the set's fingerprint is its SimHash.
 
-1. Within a band, in blocks of a bounded size, each node's partners with the best estimates are found; the ``BEST`` of
-   all its bands are compared by their sets. What is similar makes components.
-2. A band whose members are in one component is done. Of any other, the members outside its largest component are estimated against
-   all members of other components, block by block, and every pair from ``CUT`` on is compared by its sets, which the block holds.
+1. Nodes whose fingerprints are equal, or meet in a variant and are within ``RADIUS`` bits (``simhash.links``), are compared by their sets.
+   What is similar makes components.
+2. Pairs at 0.8 are often further apart than any ball reaches. So a node's 160 minimal hashes make 32 bands of five; two nodes at similarity
+   0.8 share no band with a chance of 0.672 ** 32, or 3 in a million. A band whose members are in one component is done. Of any other, the
+   members outside its largest component are estimated against all members of other components, block by block, and every
+   pair from ``CUT`` on is compared by its sets, which the block holds. One byte of each minimal hash is kept as the
+   node's sketch: the share of equal bytes estimates the similarity with a standard deviation of 0.03.
+3. Before that, a band with over ``BLOCK`` members outside its largest component is thinned: in blocks of a bounded size, each of its
+   members' ``BEST`` partners by estimate are compared by their sets, and what is similar joins the components.
 
 So a group of copies costs a few comparisons per member, not one per pair, as long as it holds together; and no pair that
 shares a band and is estimated at ``CUT`` or more is left uncompared unless its ends are connected already. A
@@ -24,9 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_rows, arrow_schema, checkpointed, gathered, keyed_text, let_go, slices
 from .components import components
 
+#: Bits between fingerprints whose sets are compared; as many variants as for 3 bits.
+RADIUS = 4
 BANDS = 32
 #: Minimal hashes of a band.
 WIDTH = 5
@@ -78,15 +84,15 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, key, n, bands, sketch): Spark's hash of the text, digest and size of its set of shingles, its bands and its sketch."""
+    """(doc_id, text_hash, key, n, fp, bands, sketch): Spark's hash of the text, digest, size and SimHash of its set of shingles, its bands and its sketch."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in rows:
             hashes = shingles(text, words)
             text_hash = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)).view(np.int64)
-            yield doc_id, int(text_hash), key_of(hashes), len(hashes), *bands_and_sketch(hashes)
+            yield doc_id, int(text_hash), key_of(hashes), len(hashes), simhash.signed(simhash.fingerprint_of_set(hashes)), *bands_and_sketch(hashes)
 
-    return arrow_rows(keyed_text(docs, id_col, text_col), "doc_id long, text_hash long, key long, n int, bands array<long>, sketch binary", run)
+    return arrow_rows(keyed_text(docs, id_col, text_col), "doc_id long, text_hash long, key long, n int, fp long, bands array<long>, sketch binary", run)
 
 
 def sets_of(texts: DataFrame, words: int) -> DataFrame:
@@ -130,16 +136,18 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The rows of each run of equal values in the first ``keys`` columns, as arrays; a binary column as a matrix of bytes, the last one, if it is named set, as objects."""
+    """The rows of each run of equal values in the first ``keys`` columns, as arrays; a binary column as a matrix of bytes, one of lists of one length as a matrix, the last one, if it is named set, as objects."""
 
     def matrix(column: pa.Array, name: str) -> np.ndarray:
         if name == "set":
             return np.array([*column.to_pylist(), None], dtype=object)[:-1]
+        if pa.types.is_list(column.type):
+            return column.flatten().to_numpy().reshape(len(column), -1)
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        columns = [matrix(c, name) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c, name in zip(batch.columns, batch.schema.names, strict=True)]
+        columns = [matrix(c, name) if pa.types.is_binary(c.type) or pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c, name in zip(batch.columns, batch.schema.names, strict=True)]
         if not batch.num_rows:
             continue
         change = np.zeros(batch.num_rows, bool)
@@ -164,6 +172,18 @@ def estimates(one: np.ndarray, all_of: np.ndarray, n: int, sizes: np.ndarray, pe
     return found
 
 
+def close_prints(nodes: DataFrame, size: int) -> DataFrame:
+    """(a, b), a > b: pairs of about ``size`` nodes that SimHash chooses: of one fingerprint, or of two that meet in a variant and are within RADIUS bits.
+
+    A node stands for its fingerprint, the others are paired with it.
+    """
+    firsts = nodes.groupBy("fp").agg(F.min("key").alias("first"))
+    of_a, of_b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    meet = simhash.links(firsts.select("fp"), radius=RADIUS, size=size, near=True).join(of_a, "a").join(of_b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = nodes.select("key", "fp").join(firsts, "fp").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    return meet.unionByName(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def best_partners(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b), a > b: of each node, the BEST partners by estimate in the blocks of its bands."""
     rows = met.join(nodes.select("key", "sketch"), "key").select("band", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).alias("block"), "key", "n", "sketch")
@@ -188,35 +208,43 @@ def best_partners(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return top.select("a", F.explode(F.col("best.b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def open_pairs(met: DataFrame, nodes: DataFrame, known: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
+def components_of(met: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of bands with their components."""
+    return met.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def mixed_bands(named: DataFrame) -> DataFrame:
+    """(band, main, most, strangers, bytes) of each band with several components: the largest, its members and all others', and the sets' bytes."""
+    counts = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("bytes"))
+    of_band = counts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), (F.sum("m") - F.max("m")).alias("strangers"), (4 * F.sum("bytes")).alias("bytes"))
+    return of_band.where("strangers > 0")
+
+
+def open_pairs(named: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
     """(a, b), a > b: similar pairs of a band in different components, among those that are estimated to be worth comparing.
 
     A block holds its members' sets, so that no pair leaves its task unless it is similar. Blocks are bounded by members and by the sets' bytes.
     """
-    named = met.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    counts = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("bytes"))
-    mixed = counts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.count(F.lit(1)).alias("parts"), (4 * F.sum("bytes")).alias("bytes")).where("parts > 1")
-    rows = named.join(mixed, "band").join(nodes.select("key", "sketch"), "key").join(sets.select("key", "set"), "key")
+    rows = named.join(mixed, "band").join(nodes.select("key", "sketch", "bands"), "key").join(sets.select("key", "set"), "key")
     heavy = F.ceil(F.col("bytes") / BLOCK_BYTES)
-    outside, blocks = F.greatest(F.ceil((F.col("size") - F.col("most")) / BLOCK), heavy), F.greatest(F.ceil(F.col("size") / BLOCK), heavy)
+    outside, blocks = F.greatest(F.ceil(F.col("strangers") / BLOCK), heavy), F.greatest(F.ceil(F.col("size") / BLOCK), heavy)
     block = lambda count: F.pmod(F.xxhash64("key"), count)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
     left = rows.where(F.col("component") != F.col("main")).withColumn("i", block(outside)).withColumn("j", every(blocks)).withColumn("side", F.lit(0))
     right = rows.withColumn("j", block(blocks)).withColumn("i", every(outside)).withColumn("side", F.lit(1))
-    wanted = ["band", "i", "j", "at", "side", "key", "n", "component", "sketch", "set"]
+    wanted = ["band", "i", "j", "at", "side", "key", "n", "component", "sketch", "bands", "set"]
     least = percent / 100 - cut
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, at, side, key, n, component, sketch, members in runs(batches, 3):
+        for _, _, _, at, side, key, n, component, sketch, bands, members in runs(batches, 3):
             these = np.flatnonzero(side == 1)
-            parts = sketch.reshape(len(sketch), BANDS, WIDTH)
             found = [np.frombuffer(x, "<u4") for x in members]
             a, b = [], []
             for i in np.flatnonzero(side == 0).tolist():
                 guess = estimates(sketch[i], sketch[these], n[i], n[these], percent)
                 open_ = these[(guess >= max(least, 1e-9)) & (component[these] != component[i])]
                 # A pair that shares several bands is compared in the first of them only.
-                open_ = open_[(parts[open_] == parts[i]).all(axis=2).argmax(axis=1) == at[i]] if len(open_) else open_
+                open_ = open_[(bands[open_] == bands[i]).argmax(axis=1) == at[i]] if len(open_) else open_
                 other = [int(key[o]) for o in open_.tolist() if jaccard_of(found[i], found[o], percent)]
                 a += [int(key[i])] * len(other)
                 b += other
@@ -234,18 +262,27 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, words: int, percent: int
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = checkpointed(members.join(shared, "band").select("band", "at", "key", "n", "size"), BANDS * size)
     let_go(docs.sparkSession)
-    first = checkpointed(best_partners(met, nodes, percent), BANDS * size)
+    chosen = checkpointed(close_prints(nodes, size), BANDS * size)
     let_go(docs.sparkSession)
     # One text of each node that meets another; a repeated or missing id may bring others, which no pair names.
-    some = nodes.join(met.select("key").distinct(), "key", "left_semi").select("least").distinct()
+    meeting = met.select("key").unionByName(chosen.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    some = nodes.join(meeting, "key", "left_semi").select("least").distinct()
     texts = keyed_text(docs, id_col, text_col)
     sets = checkpointed(sets_of(texts.join(some, texts["doc_id"].eqNullSafe(some["least"]), "left_semi"), words).dropDuplicates(["key"]), BANDS * size)
     let_go(docs.sparkSession)
-    close = checkpointed(similar(first, sets, percent), BANDS * size)
+    close = checkpointed(similar(chosen, sets, percent), BANDS * size)
     let_go(docs.sparkSession)
-    known = components(close)
+    named = components_of(met, components(close))
+    mixed = checkpointed(mixed_bands(named), BANDS * size)
     let_go(docs.sparkSession)
-    return close.unionByName(checkpointed(open_pairs(met, nodes, known, sets, percent, cut), BANDS * size))
+    loose = mixed.where(F.col("strangers") > BLOCK).select("band")
+    if not loose.isEmpty():
+        partners = best_partners(met.join(loose, "band", "left_semi"), nodes, percent)
+        close = checkpointed(close.unionByName(similar(partners, sets, percent)), 2 * BANDS * size)
+        named = components_of(met, components(close))
+        mixed = checkpointed(mixed_bands(named), BANDS * size)
+        let_go(docs.sparkSession)
+    return close.unionByName(checkpointed(open_pairs(named, mixed, nodes, sets, percent, cut), BANDS * size))
 
 
 def near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +296,7 @@ def near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: floa
     marked = checkpointed(sketches(docs, words, id_col, text_col))
     size = marked.count()
     let_go(docs.sparkSession)
-    nodes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), BANDS * size)
+    nodes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), BANDS * size)
     found = components(links(docs, nodes, size, words, percent, cut, id_col, text_col))
     known = nodes.select("key", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))

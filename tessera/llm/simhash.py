@@ -20,7 +20,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
 from .common import arrow_rows, checkpointed, keyed_text
 from .components import components
 
@@ -48,11 +47,27 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
-        some = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[at : at + STEP], stops[at : at + STEP], strict=True)), dtype="<u8", count=min(STEP, n - at))
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += ones_of(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[at : at + STEP], stops[at : at + STEP], strict=True)), dtype="<u8", count=min(STEP, n - at)))
+    return majority(ones, n)
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return int(sum(1 << i for i, c in enumerate(ones.tolist()) if 2 * c > n))
 
 
+def fingerprint_of_set(hashes: np.ndarray) -> int:
+    """Majority bits of the hashes of a set of shingles, each counted once; an empty set gives 0."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), STEP):
+        ones += ones_of(hashes[at : at + STEP])
+    return majority(ones, len(hashes))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -72,10 +87,14 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
 
 
 class Forest:
-    """Union-find over the fingerprints that a task has linked; gives one edge per node but the roots."""
+    """Union-find over the fingerprints that a task has linked; gives one edge per node but the roots.
+
+    ``joined`` are the pairs that joined two trees, as many as those edges.
+    """
 
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
+        self.joined: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         path = []
@@ -88,9 +107,11 @@ class Forest:
         return x
 
     def link(self, a: int, b: int) -> None:
+        pair = (a, b)
         a, b = self.root(a), self.root(b)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+            self.joined.append(pair)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -139,8 +160,11 @@ def full_ball(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return each.select(F.lit(-1).cast("byte").alias("block"), F.col("fp").bitwiseXOR(F.col("turn")).alias("variant"), "fp")
 
 
-def met(pairs: DataFrame, meeting: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b) links of fingerprints that meet in a variant, as a forest per task; b is null for a member of a crowd."""
+def met(pairs: DataFrame, meeting: int, radius: int = RADIUS, near: bool = False) -> DataFrame:
+    """(a, b) links of fingerprints that meet in a variant, as a forest per task; b is null for a member of a crowd.
+
+    With ``near``, every link is of two fingerprints within the radius themselves, so that what they stand for can be compared.
+    """
     sorted_runs = pairs.repartition("block", "variant").sortWithinPartitions("block", "variant")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +203,7 @@ def met(pairs: DataFrame, meeting: int, radius: int = RADIUS) -> DataFrame:
                 if len(held) > 64:
                     held = [np.unique(np.concatenate(held))]
         close()
-        links = [(n, forest.root(n)) for n in list(forest.parent)]
+        links = forest.joined if near else [(n, forest.root(n)) for n in list(forest.parent)]
         a = [x for x, _ in links] + list(crowded)
         b = [y for _, y in links] + [None] * len(crowded)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -187,17 +211,20 @@ def met(pairs: DataFrame, meeting: int, radius: int = RADIUS) -> DataFrame:
     return sorted_runs.mapInArrow(work, "a long, b long")
 
 
-def links(fps: DataFrame, meeting: int = MEETING, radius: int = RADIUS, size: int | None = None) -> DataFrame:
-    """(a, b): links that connect all fingerprints of (fp), about ``size``, which a chain of distances of ``radius`` or less connects."""
+def links(fps: DataFrame, meeting: int = MEETING, radius: int = RADIUS, size: int | None = None, near: bool = False) -> DataFrame:
+    """(a, b): links that connect all fingerprints of (fp), about ``size``, which a chain of distances of ``radius`` or less connects.
+
+    With ``near``, links are no longer than the radius themselves.
+    """
     # Fingerprints are few bytes and their variants many, so they are spread before.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     # Links are few beside the variants that they come from, so their files may be.
-    found = checkpointed(met(variants(spread, radius), meeting, radius), None if size is None else 16 * size)
+    found = checkpointed(met(variants(spread, radius), meeting, radius, near), None if size is None else 16 * size)
     close = found.where(F.col("b").isNotNull())
     crowd = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     if crowd.limit(1).count():
         # As many fingerprints as a ball has values share such a variant, some of them further apart than the radius, so they are verified too.
-        close = close.unionByName(met(full_ball(crowd, radius), 1 << 62, radius))
+        close = close.unionByName(met(full_ball(crowd, radius), 1 << 62, radius, near))
     return close.distinct()
 
 
@@ -225,11 +252,13 @@ def keep_first(docs: DataFrame, *, words: int = 3, percent: int | None = None, i
     """One row, with all its columns, of each component: that of the smallest doc_id (without ``percent`` any one, if that id repeats).
 
     Without ``percent``, fingerprints within RADIUS bits are linked. With it, texts whose sets of shingles have a Jaccard similarity of so
-    many percent: at 80, fingerprints are some ten bits apart, which no ball of a size to emit reaches, so the pairs
-    are chosen and compared by ``shingles``. Without ``percent``, rows without a doc_id count as one document.
+    many percent: ``shingles`` compares the sets where fingerprints meet, and finds what is similar though its fingerprints, at 80
+    some ten bits apart, are out of reach of any ball of a size to emit. Without ``percent``, rows without a doc_id count as one document.
     Null, empty and wordless texts are copies of each other; an empty table gives none; clashing column names do no harm.
     """
     if percent is not None:
+        from . import shingles  # it builds on this module
+
         return shingles.keep_first(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     found = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col, meeting=meeting)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()

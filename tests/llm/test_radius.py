@@ -34,3 +34,25 @@ def test_links_equal_all_pairs(spark, radius, meeting):
         forest.link(r["a"], r["b"])
     roots = {p: forest.root(simhash.signed(p)) for p in prints}
     assert all((roots[a] == roots[b]) == (label[a] == label[b]) for a in prints for b in prints)
+
+
+@pytest.mark.parametrize("meeting", [8_192, 2])
+def test_near_links_are_within_the_radius_and_connect_the_same(spark, meeting):
+    rng = random.Random(9)
+    prints = set()
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        for _ in range(8):
+            prints.add(x)
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                x ^= 1 << bit
+    table = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    near, plain = simhash.Forest(), simhash.Forest()
+    for r in simhash.links(table, meeting, 4, near=True).collect():
+        assert ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4
+        near.link(r["a"], r["b"])
+    for r in simhash.links(table, meeting, 4).collect():
+        plain.link(r["a"], r["b"])
+    signed = [simhash.signed(p) for p in prints]
+    assert [near.root(p) for p in signed] == [plain.root(p) for p in signed]
+    assert len({near.root(p) for p in signed}) < len(signed)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from tessera.llm import shingles
 
@@ -62,6 +63,32 @@ def test_members_that_a_first_does_not_connect_are_compared(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs).collect()} == plain_components(rows)
 
 
+def test_simhash_chooses_pairs(spark, monkeypatch):
+    """Without any band, nodes of one fingerprint or within the radius are still compared by their sets, and linked if these are similar."""
+    monkeypatch.setattr(shingles, "sketches", lambda docs, *a, made=shingles.sketches: made(docs, *a).withColumn("bands", shingles.F.array().cast("array<long>")))
+    rows = corpus(5)
+    sets = [shingles.shingles(t or "", 5) for _, t in rows]
+    prints = [shingles.simhash.fingerprint_of_set(s) for s in sets]
+    near = {(a, b) for a in range(len(rows)) for b in range(a) if len({shingles.key_of(sets[a]), shingles.key_of(sets[b])}) == 1 or (prints[a] ^ prints[b]).bit_count() <= shingles.RADIUS}
+    label = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for a, b in near:
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
+                label[a] = label[b] = min(label[a], label[b])
+    found = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label
+    assert len(set(label.values())) < len({shingles.key_of(s) for s in sets})
+
+
+def test_bands_of_many_strangers_are_thinned_first(spark, monkeypatch):
+    """Where no fingerprint helps, partners by estimate and then all open pairs of a band are compared, with the same result."""
+    monkeypatch.setattr(shingles, "BLOCK", 3)
+    monkeypatch.setattr(shingles, "sketches", lambda docs, *a, made=shingles.sketches: made(docs, *a).withColumn("fp", shingles.F.xxhash64("key")))
+    rows = corpus(6)
+    found = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == plain_components(rows)
+
+
 def test_rows_without_an_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(None, text), (4, text + " more"), (None, "alone here")], "doc_id long, text string")
