@@ -9,13 +9,20 @@ from .common import checkpointed, let_go
 
 #: Rounds before giving up; each at least halves the nodes that still have edges.
 ROUNDS = 60
+#: Edges up to which labels are broadcast, 256 KB, instead of dealt out to all shuffle partitions again and again.
+SMALL = 1 << 14
+
+
+def sent(labels: DataFrame, rows: int) -> DataFrame:
+    """The labels, marked for broadcasting where they are few; the rows of a join with them are the same."""
+    return F.broadcast(labels) if rows <= SMALL else labels
 
 
 def jumped(hooks: DataFrame, rows: int) -> DataFrame:
     """(node, label) with every label replaced by the end of its chain of labels."""
     for _ in range(ROUNDS):
         up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = checkpointed(hooks.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), rows)
+        step = checkpointed(hooks.join(sent(up, rows), "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), rows)
         hooks = step.select("node", "label")
         let_go(step.sparkSession)
         if step.where("moved").isEmpty():
@@ -40,15 +47,15 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = jumped(checkpointed(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), rows), rows)
         of_a = hooks.select(F.col("node").alias("a"), F.col("label").alias("x"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        ends = left.join(of_a, "a").join(of_b, "b", "left").select("x", F.coalesce("y", "b").alias("y")).where(F.col("x") != F.col("y"))
+        ends = left.join(sent(of_a, rows), "a").join(sent(of_b, rows), "b", "left").select("x", F.coalesce("y", "b").alias("y")).where(F.col("x") != F.col("y"))
         left = checkpointed(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), rows)
         if found is not None:
             up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            hooks = found.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
+            hooks = found.join(sent(up, rows), "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(hooks)
         found = checkpointed(hooks, 2 * rows)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = found.select(F.col("label").alias("node"), "label").distinct()
-    return found.unionByName(roots).withColumnRenamed("label", "component")
+    return sent(found.unionByName(roots).withColumnRenamed("label", "component"), rows)

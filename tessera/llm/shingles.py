@@ -3,7 +3,7 @@
 Texts with one set of shingles are one node, and the set's fingerprint is its SimHash.
 
 1. Nodes whose fingerprints are equal, or meet in a variant and are within ``RADIUS`` bits (``simhash.links``), are compared by their sets.
-   What is similar makes components.
+   What is similar makes components; some hops from node to least similar node tell most of them, which is enough to leave out comparisons.
 2. Pairs at 0.8 are often further apart than any ball reaches. So a node's 160 minimal hashes make 32 bands of five; two nodes at similarity
    0.8 share no band with a chance of 0.672 ** 32, or 3 in a million. A band whose members are in one component is done. Of any other, the
    members outside its largest component are estimated against all members of other components, block by block, and every
@@ -128,9 +128,9 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     arrow = arrow_schema(pairs.sparkSession, "a long, b long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard_of(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], schema=arrow)
+        for piece in slices(batches, 2):
+            ok = [jaccard_of(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), percent) for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in piece.columns[:2]], schema=arrow)
 
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long")
 
@@ -208,6 +208,15 @@ def best_partners(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return top.select("a", F.explode(F.col("best.b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def hops(close: DataFrame, times: int = 2) -> DataFrame:
+    """(node, component): the end of so many doublings of a chain of least similar nodes, so that nodes of one component here are connected."""
+    found = close.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    for _ in range(times):
+        up = found.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        found = found.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return found
+
+
 def components_of(met: DataFrame, known: DataFrame) -> DataFrame:
     """The members of bands with their components."""
     return met.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -221,7 +230,7 @@ def mixed_bands(named: DataFrame) -> DataFrame:
 
 
 def open_pairs(named: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
-    """(a, b), a > b: similar pairs of a band in different components, among those that are estimated to be worth comparing.
+    """(a, b), a > b: similar pairs of a band in different components, among those that are estimated to be worth comparing, as a forest per task.
 
     A block holds its members' sets, so that no pair leaves its task unless it is similar. Blocks are bounded by members and by the sets' bytes.
     """
@@ -236,6 +245,8 @@ def open_pairs(named: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataF
     least = percent / 100 - cut
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A pair whose components this task has connected already tells nothing new, so links stay fewer than components.
+        forest = simhash.Forest()
         for _, _, _, at, side, key, n, component, sketch, bands, members in runs(batches, 3):
             these = np.flatnonzero(side == 1)
             found = [np.frombuffer(x, "<u4") for x in members]
@@ -245,9 +256,12 @@ def open_pairs(named: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataF
                 open_ = these[(guess >= max(least, 1e-9)) & (component[these] != component[i])]
                 # A pair that shares several bands is compared in the first of them only.
                 open_ = open_[(bands[open_] == bands[i]).argmax(axis=1) == at[i]] if len(open_) else open_
-                other = [int(key[o]) for o in open_.tolist() if jaccard_of(found[i], found[o], percent)]
-                a += [int(key[i])] * len(other)
-                b += other
+                for o in open_.tolist():
+                    one, two = int(component[i]), int(component[o])
+                    if forest.root(one) != forest.root(two) and jaccard_of(found[i], found[o], percent):
+                        forest.link(one, two)
+                        a.append(int(key[i]))
+                        b.append(int(key[o]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -272,7 +286,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, words: int, percent: int
     let_go(docs.sparkSession)
     close = checkpointed(similar(chosen, sets, percent), BANDS * size)
     let_go(docs.sparkSession)
-    named = components_of(met, components(close))
+    named = components_of(met, checkpointed(hops(close), BANDS * size))
     mixed = checkpointed(mixed_bands(named), BANDS * size)
     let_go(docs.sparkSession)
     loose = mixed.where(F.col("strangers") > BLOCK).select("band")
@@ -285,6 +299,18 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, words: int, percent: int
     return close.unionByName(checkpointed(open_pairs(named, mixed, nodes, sets, percent, cut), BANDS * size))
 
 
+def classes(docs: DataFrame, words: int, percent: int, cut: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, key, component) of every document, and (key, least, component) of every node; component is the key of some member of the class."""
+    marked = checkpointed(sketches(docs, words, id_col, text_col))
+    size = marked.count()
+    let_go(docs.sparkSession)
+    nodes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), BANDS * size)
+    found = components(links(docs, nodes, size, words, percent, cut, id_col, text_col)).withColumnRenamed("node", "key")
+    let_go(docs.sparkSession)
+    named = lambda rows: rows.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return named(marked.select("doc_id", "text_hash", "key")), named(nodes.select("key", "least"))
+
+
 def near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, key, component, component_id) of every document; component is the class, by the key of some member, and
     component_id the smallest doc_id that links of ``percent`` reach. With a ``cut`` of 1 all pairs that share a band are compared, whatever their estimate.
@@ -293,15 +319,9 @@ def near_copies(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: floa
     reachable. Repeated rows give repeated results; an empty table gives none; other columns are left aside; a tie between estimates
     goes to the smaller key, and can't change the components of pairs that are compared later anyhow.
     """
-    marked = checkpointed(sketches(docs, words, id_col, text_col))
-    size = marked.count()
-    let_go(docs.sparkSession)
-    nodes = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), BANDS * size)
-    found = components(links(docs, nodes, size, words, percent, cut, id_col, text_col))
-    known = nodes.select("key", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    leasts = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.select("key", "component").join(leasts, "component").select("key", "component", "component_id")
-    return marked.select("doc_id", "text_hash", "key").join(named, "key").select("doc_id", "text_hash", "key", "component", "component_id")
+    rows, nodes = classes(docs, words, percent, cut, id_col, text_col)
+    leasts = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(leasts, "component").select("doc_id", "text_hash", "key", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +329,7 @@ def keep_first(docs: DataFrame, *, words: int = 5, percent: int = 80, cut: float
 
     Of rows that share the id, or have none, the one whose text has the smallest hash; of equal rows any one.
     """
-    found = near_copies(docs, words=words, percent=percent, cut=cut, id_col=id_col, text_col=text_col)
+    found, _ = classes(docs, words, percent, cut, id_col, text_col)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("b")).select(F.col("b.doc_id").alias("first_id"), F.col("b.text_hash").alias("first_hash"))
     same = docs[id_col].eqNullSafe(best["first_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == best["first_hash"])
     return docs.join(best, same, "left_semi").dropDuplicates([id_col, text_col])

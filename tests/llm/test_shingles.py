@@ -127,3 +127,24 @@ def test_all_pairs_of_a_band_can_be_compared(spark, monkeypatch):
         found = shingles.near_copies(spark.createDataFrame(texts, "doc_id long, text string"), cut=cut)
         assert {r["doc_id"]: r["component_id"] for r in found.collect()} == group
     assert 1 < len(set(group.values())) < 70
+
+
+def test_hops_join_only_what_is_connected(spark):
+    """A chain of five nodes and a star come to their ends in two doublings, a longer chain in part; nodes of one component are connected."""
+    chains = [[1, 2, 3, 4, 5], [10, 20], list(range(100, 120))]
+    pairs = [(b, a) for c in chains for a, b in zip(c, c[1:], strict=False)] + [(31, 30), (32, 30), (33, 30), (33, 31)]
+    found = {r["node"]: r["component"] for r in shingles.hops(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert [found[n] for n in (2, 3, 4, 5, 20, 31, 32, 33)] == [1, 1, 1, 1, 10, 30, 30, 30]
+    assert all(any(n in c and found[n] in c and found[n] < n for c in [*chains, [30, 31, 32, 33]]) for n in found)
+    assert shingles.hops(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_open_pairs_of_a_group_are_a_forest(spark, monkeypatch):
+    """Copies that no fingerprint connects give links in proportion to their number, not to its square."""
+    made = []
+    monkeypatch.setattr(shingles, "sketches", lambda docs, *a, made=shingles.sketches: made(docs, *a).withColumn("fp", shingles.F.xxhash64("key")).withColumn("bands", shingles.F.array(shingles.F.lit(1).cast("long"))))
+    monkeypatch.setattr(shingles, "open_pairs", lambda *a, f=shingles.open_pairs: made.append(f(*a)) or made[-1])
+    texts = [(i, " ".join(f"x{i}" if w == i else f"w{w}" for w in range(200))) for i in range(40)]
+    found = shingles.near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["component_id"] for r in found.collect()} == {0}
+    assert made[0].count() == 39
