@@ -2,7 +2,8 @@
 
 Equal things are one: facts are kept on the least name of each class of equals, the representative, and other names come back only where
 results are expanded. So a class of a thousand names costs a thousand rows, not a million, and the rounds don't depend on its size. What is
-known is a table for each round, written once; a round reads all of them and writes what is new.
+known is a table for each round, written once; a round reads all of them, as one scan, and writes what is new. After each round its shuffle files
+and plans are let go, so that neither the disk nor the driver's memory grows with the rounds.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import representatives
-from .lineage import stored
+from .lineage import let_go, stored, together
 from .rules import FACT, SAME, Rules, in_schema, is_node
 
 QUAD = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
@@ -73,10 +74,12 @@ class Closure:
 
     def part(self, facts: DataFrame) -> DataFrame:
         """A table of facts, each file sorted by predicate, so that a rule reads the row groups of its predicates."""
-        return stored(facts.select(*self.columns).sortWithinPartitions("p"), "facts")
+        made = stored(facts.select(*self.columns).sortWithinPartitions("p"), "facts")
+        let_go(made.sparkSession)
+        return made
 
     def known(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.parts).where(F.col("p") != SAME)
+        return together(self.parts).where(F.col("p") != SAME)
 
     def minus(self, found: list[DataFrame]) -> DataFrame:
         """The facts found, on representatives, that are not known yet."""
@@ -84,7 +87,7 @@ class Closure:
             return self.parts[0].limit(0)
         facts = self.canonical(reduce(DataFrame.unionByName, (f.select(*self.columns) for f in found)))
         facts = facts.where((F.col("p") != SAME) | (F.col("s") != F.col("o"))).distinct()
-        return facts.join(reduce(DataFrame.unionByName, self.parts), self.columns, "left_anti")
+        return facts.join(together(self.parts), self.columns, "left_anti")
 
     def canonical(self, facts: DataFrame) -> DataFrame:
         if self.classes is None:

@@ -45,3 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Stored tables of one schema as one table: a single scan of their folders, so a plan doesn't grow with their number."""
+    folders = sorted({file.rpartition("/")[0] for part in parts for file in part.inputFiles()}) if len(parts) > 1 else []
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*folders) if folders else parts[0]
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage: shuffle files, broadcasts and plans of steps that are done go only when it does."""
+    spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]

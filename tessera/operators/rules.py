@@ -27,6 +27,7 @@ SCHEMA = (
     + LISTS
 )
 MARKS = [OWL + p for p in ("SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "IrreflexiveProperty", "AsymmetricProperty", "AllDisjointClasses", "AllDifferent")]
+LIMITS = [OWL + "maxCardinality", OWL + "maxQualifiedCardinality"]
 FACT = ("s", "p", "o", "o_kind", "o_dt", "o_lang")
 
 
@@ -42,8 +43,10 @@ class Rules:
     def __init__(self, known: DataFrame, keys: list[str], classes: DataFrame | None) -> None:
         self.keys = keys
         self.schema = stored(known.where(in_schema()).select(*keys, *FACT).distinct(), "schema")
-        # Bounded by the fixed lists above.
-        self.present = {r[0] for r in self.schema.select(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p"))).distinct().collect()}
+        # Bounded by the fixed lists above; limits of none or one are told apart, as rules know these only.
+        limit = F.expr("try_cast(o AS INT)")
+        kind = F.when(F.col("p") == TYPE, F.col("o")).when(F.col("p").isin(LIMITS) & limit.isin(0, 1), F.concat_ws(" ", "p", limit.cast("string"))).otherwise(F.col("p"))
+        self.present = {r[0] for r in self.schema.select(kind).distinct().collect()}
         self._known, self._predicates, self._names = known, None, None
         self.lists = self.positions(known) if self.present & set(LISTS) else None
         equal = None
@@ -121,9 +124,15 @@ class Rules:
         """(keys..., class, p, of): classes whose members have at most n values of a property, counting those of class ``of``."""
         k = self.keys
         plain = self.restrictions("maxCardinality").where(F.expr(f"try_cast(v AS INT) = {n}")).select(*k, "class", "p", F.lit(THING).alias("of"))
+        if not self.limited(n, LIMITS[1:]):
+            return plain
         of = self.pairs(OWL + "onClass").select(*k, F.col("x").alias("class"), F.col("y").alias("of"))
         return plain.unionByName(self.restrictions("maxQualifiedCardinality").where(F.expr(f"try_cast(v AS INT) = {n}")).select(*k, "class", "p").join(of, [*k, "class"]).select(*k, "class", "p", "of"))
 
+    def limited(self, n: int, kinds: list[str] = LIMITS) -> bool:
+        """Whether the schema has limits of n, so that no rule on them is planned in vain."""
+        return any(f"{p} {n}" in self.present for p in kinds)
+
     # Shapes of facts.
 
     def typed(self, df: DataFrame, s: str, kind: str) -> DataFrame:
@@ -201,7 +210,7 @@ class Rules:
             out += self.chains(new, known, whole)
         if OWL + "hasKey" in have:
             out.append(self.keyed(new, known, whole))
-        if have & {OWL + "maxCardinality", OWL + "maxQualifiedCardinality"}:
+        if self.limited(1):
             out.append(self.single(new, known, whole))
         return out
 
@@ -274,17 +283,19 @@ class Rules:
             rows = rows.join(rows.join(touched, [*k, "s"], "left_semi").select(*k, "head", "class", "shared").distinct(), [*k, "head", "class", "shared"], "left_semi")
         return self.least_of(rows, ["head", "class", "shared"], "s")
 
-    def counted(self, known: DataFrame, limits: DataFrame) -> DataFrame:
-        """(keys..., class, p, s, o): the values that count against a limit."""
-        k = self.keys
+    def counted(self, known: DataFrame, n: int) -> DataFrame:
+        """(keys..., class, p, of, s, o): the values that count against a limit of n."""
+        k, limits = self.keys, self.at_most(n)
         facts = known.where(is_node()).join(limits, [*k, "p"]).join(self.types(known, "s", "class"), [*k, "s", "class"], "left_semi").select(*k, "class", "p", "of", "s", "o")
+        if not self.limited(n, LIMITS[1:]):
+            return facts
         any_ = facts.where(F.col("of") == THING)
         return any_.unionByName(facts.where(F.col("of") != THING).join(self.types(known, "o", "of"), [*k, "o", "of"], "left_semi").select(*k, "class", "p", "of", "s", "o"))
 
     def single(self, new: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
         """Where one value is allowed at most, all values are equal."""
         k, limits = self.keys, self.at_most(1)
-        facts = self.counted(known, limits)
+        facts = self.counted(known, 1)
         if not whole:
             links = new.join(limits.select(*k, "p").distinct(), [*k, "p"], "left_semi")
             kinds = self.types(new, "s", "class")
@@ -324,8 +335,8 @@ class Rules:
         if OWL + "AsymmetricProperty" in have:
             own = known.where(is_node()).join(self.marked("AsymmetricProperty"), [*k, "p"], "left_semi")
             say(own.join(own.select(*k, "p", F.col("o").alias("s"), F.col("s").alias("o")), [*k, "p", "s", "o"], "left_semi"), "prp-asyp", "s", "p")
-        if have & {OWL + "maxCardinality", OWL + "maxQualifiedCardinality"}:
-            say(self.counted(known, self.at_most(0)), "cls-maxc1", "s", "class")
+        if self.limited(0):
+            say(self.counted(known, 0), "cls-maxc1", "s", "class")
         if OWL + "sourceIndividual" in have:
             parts = {name: self.schema.where(F.col("p") == OWL + p).select(*k, F.col("s").alias("x"), F.col("o").alias(name)) for name, p in (("s", "sourceIndividual"), ("p", "assertionProperty"))}
             target = self.schema.where(F.col("p").isin(OWL + "targetIndividual", OWL + "targetValue")).select(*k, F.col("s").alias("x"), "o", "o_kind", "o_dt", "o_lang")

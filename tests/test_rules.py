@@ -186,3 +186,12 @@ def test_contradictions(spark):
     assert found == {("cax-adc", E + "x"), ("cax-dw", E + "y"), ("eq-diff1", E + "a"), ("eq-diff3", E + "a"), ("prp-asyp", E + "u"), ("prp-asyp", E + "v"), ("prp-pdw", E + "u"), ("cls-nothing2", E + "z"), ("prp-npa1", E + "u")}
     assert inference.inconsistencies(frame(spark, {(E + "x", TYPE, E + "C")})).collect() == []
     assert rules.SAME == SAME
+
+
+def test_known_facts_are_one_scan_and_no_limit_is_planned_in_vain(spark):
+    given = {(E + "a", E + "p", E + "b"), (E + "b", E + "p", E + "c"), (E + "p", TYPE, OWL + "TransitiveProperty"), (E + "a", TYPE, E + "R"), (E + "R", OWL + "onProperty", E + "p"), (E + "R", OWL + "maxCardinality", '"0')}
+    found = inference.Closure(frame(spark, given))
+    assert len(found.parts) > 2
+    assert found.known()._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert found.rules.limited(0) and not found.rules.limited(1)
+    assert {tuple(r) for r in found.inconsistencies().collect()} == {("cls-maxc1", E + "a", E + "R")}
