@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import stored
+from .lineage import let_go, stored
 
 
 def settled(hooks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,4 +37,5 @@ def representatives(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         left = ordered(ends.select(*keys, F.col("a").alias("x"), F.coalesce("b", "y").alias("y")))
         over = found.join(at("rep", "a"), [*keys, "rep"], "left").select(*keys, "node", F.coalesce("a", "rep").alias("rep"))
         found = stored(over.unionByName(hooks.withColumnRenamed("up", "rep")), "classes")
+        let_go(found.sparkSession)
     return found

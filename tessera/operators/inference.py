@@ -18,6 +18,8 @@ from .lineage import let_go, stored, together
 from .rules import FACT, SAME, Rules, in_schema, is_node
 
 QUAD = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
+#: Members of a class of equals that one task pairs with all of the class.
+CHUNK = 8_192
 
 
 def encoded(quads: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,11 +29,18 @@ def encoded(quads: DataFrame, keys: list[str]) -> DataFrame:
     return quads.select(*keys, node("s", "s_kind"), "p", node("o", "o_kind"), F.when(literal, "literal").otherwise("node").alias("o_kind"), *[F.when(literal, F.coalesce(c, F.lit(""))).otherwise("").alias(c) for c in ("o_dt", "o_lang")])
 
 
+def node_name(c: str, is_node: Column | None = None) -> Column:
+    blank = F.col(c).startswith("_:")
+    return F.when(blank if is_node is None else is_node & blank, F.substring(c, 3, 2**31 - 1)).otherwise(F.col(c))
+
+
+def node_kind(c: str) -> Column:
+    return F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri")
+
+
 def decoded(facts: DataFrame, keys: list[str]) -> DataFrame:
-    blank = lambda c: F.col(c).startswith("_:")
-    name = lambda c, is_node: F.when(is_node & blank(c), F.substring(c, 3, 2**31 - 1)).otherwise(F.col(c)).alias(c)
-    kind: Column = F.when(F.col("o_kind") == "literal", "literal").when(blank("o"), "bnode").otherwise("iri")
-    return facts.select(*keys, name("s", F.lit(True)), F.when(blank("s"), "bnode").otherwise("iri").alias("s_kind"), "p", name("o", is_node()), kind.alias("o_kind"), "o_dt", "o_lang")
+    kind: Column = F.when(F.col("o_kind") == "literal", "literal").otherwise(node_kind("o"))
+    return facts.select(*keys, node_name("s").alias("s"), node_kind("s").alias("s_kind"), "p", node_name("o", is_node()).alias("o"), kind.alias("o_kind"), "o_dt", "o_lang")
 
 
 class Closure:
@@ -140,11 +149,24 @@ class Closure:
         at = lambda c: members.select(*k, F.col("rep").alias(c), F.col("node").alias(f"{c}_name"))
         facts = self.facts.join(at("s"), [*k, "s"], "left").withColumn("s", F.coalesce("s_name", "s")).withColumn("node", F.when(is_node(), F.col("o")))
         facts = facts.join(at("node"), [*k, "node"], "left").withColumn("o", F.coalesce("node_name", "o")).select(*self.columns)
-        a, b = members.withColumnRenamed("node", "s"), members.withColumnRenamed("node", "o")
-        equals = a.join(b, [*k, "rep"]).where(F.col("s") != F.col("o"))
-        equals = equals.select(*k, "s", F.lit(SAME).alias("p"), "o", F.lit("node").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
         other = self.given.where((F.col("p") == SAME) & ((F.col("s") == F.col("o")) | ~is_node())).distinct()
-        return decoded(facts.unionByName(equals).unionByName(other), k)
+        return decoded(facts.unionByName(other), k).unionByName(self.equals(members))
+
+    def equals(self, members: DataFrame) -> DataFrame:
+        """Quads of all pairs of equals, from (keys..., node, rep).
+
+        Names are read once a member, not once a pair. Pairs are far more than members, so these are dealt out by class to as many tasks as
+        there are shuffle partitions, and a class of over CHUNK members to one for each CHUNK of them.
+        """
+        k = self.keys
+        sizes = self.classes.groupBy(*k, "rep").agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK).alias("chunks"))  # type: ignore[union-attr]
+        named = members.join(sizes, [*k, "rep"]).select(*k, "rep", "node", node_name("node").alias("name"), node_kind("node").alias("kind"), "chunks")
+        a = named.select(*k, "rep", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.col("node").alias("a"), F.col("name").alias("s"), F.col("kind").alias("s_kind"))
+        b = named.select(*k, "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("node").alias("b"), F.col("name").alias("o"), F.col("kind").alias("o_kind"))
+        many = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # type: ignore[arg-type]
+        dealt = lambda df: df.repartition(many, *k, "rep", "chunk")
+        pairs = dealt(a).join(dealt(b), [*k, "rep", "chunk"]).where("a != b")
+        return pairs.select(*k, "s", "s_kind", F.lit(SAME).alias("p"), "o", "o_kind", F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
 
     def inconsistencies(self) -> DataFrame:
         """(keys..., rule, s, detail) of what can't be true together, named by the rules of the profile; blank nodes with a leading ``_:``."""

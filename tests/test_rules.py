@@ -195,3 +195,11 @@ def test_known_facts_are_one_scan_and_no_limit_is_planned_in_vain(spark):
     assert found.known()._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert found.rules.limited(0) and not found.rules.limited(1)
     assert {tuple(r) for r in found.inconsistencies().collect()} == {("cls-maxc1", E + "a", E + "R")}
+
+
+def test_pairs_of_equals_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inference, "CHUNK", 16)
+    names = ["_:b1", *[f"{E}n{i}" for i in range(59)]]
+    found = inference.infer(frame(spark, {(names[0], SAME, n) for n in names[1:]})).where(F.col("p") == SAME)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
+    assert plain(found) == {(a, SAME, b) for a in names for b in names if a != b}
