@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,36 @@ from .common import checkpointed, let_go
 ROUNDS = 60
 #: Edges up to which labels are broadcast, 256 KB, instead of dealt out to all shuffle partitions again and again.
 SMALL = 1 << 14
+#: Edges that a task joins to trees at a time.
+LOCAL = 1 << 16
+
+
+class Forest:
+    """Union-find over the nodes that a task has linked; gives one edge per node but the roots, which are the least of their trees.
+
+    ``joined`` are the pairs that joined two trees, as many as those edges.
+    """
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.joined: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        path = []
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            parent[p] = x
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        pair = (a, b)
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.joined.append(pair)
 
 
 def sent(labels: DataFrame, rows: int) -> DataFrame:
@@ -18,6 +51,31 @@ def sent(labels: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(labels) if rows <= SMALL else labels
 
 
+def joined(edges: DataFrame, rows: int) -> DataFrame:
+    """The edges (a, b), a > b, with each LOCAL of them replaced by edges from the nodes of their trees to the least: no more edges, but shorter chains."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        held = 0
+
+        def trees() -> pa.RecordBatch:
+            nodes = list(forest.parent)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(forest.root, nodes), pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, LOCAL):
+                piece = batch.slice(start, LOCAL)
+                if held and held + piece.num_rows > LOCAL:
+                    yield trees()
+                    forest, held = Forest(), 0
+                held += piece.num_rows
+                for a, b in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    forest.link(a, b)
+        yield trees()
+
+    return edges.select("a", "b").coalesce(max(1, -(-rows // LOCAL))).mapInArrow(work, "a long, b long")
+
+
 def jumped(hooks: DataFrame, rows: int) -> DataFrame:
     """(node, label) with every label replaced by the end of its chain of labels."""
     for _ in range(ROUNDS):
@@ -33,8 +91,9 @@ def jumped(hooks: DataFrame, rows: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (a, b) of longs; a component is its smallest node.
 
-    Each round hooks every node to its least smaller neighbour, follows the hooks to their ends, and keeps the edges
-    between different ends. Chains settle in one round, so edges are joined about once, however large a group is.
+    Each round has every task join the edges that it reads to trees, hooks every node to its least smaller neighbour, follows the hooks to
+    their ends, and keeps the edges between different ends. Chains settle in one round, so edges are joined about once, however large a group
+    is. With the trees, chains of hooks are short, so there are few jumps, and few small jobs for the driver to plan and to keep.
     What is found is written to the checkpoint folder, so an executor may be lost. Loops and repeated edges do no harm. Each round's
     shuffle files and plans are let go at once, so the driver's memory and the disk don't grow with the rounds.
     """
@@ -44,6 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if left.isEmpty():
             break
+        left = checkpointed(joined(left, rows), rows)
         hooks = jumped(checkpointed(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), rows), rows)
         of_a = hooks.select(F.col("node").alias("a"), F.col("label").alias("x"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("label").alias("y"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, checkpointed, keyed_text
-from .components import components
+from .components import Forest, components
 
 BITS = 64
 RADIUS = 3
@@ -86,34 +86,6 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
     return arrow_rows(keyed_text(docs, id_col, text_col), "doc_id long, fp long", run)
 
 
-class Forest:
-    """Union-find over the fingerprints that a task has linked; gives one edge per node but the roots.
-
-    ``joined`` are the pairs that joined two trees, as many as those edges.
-    """
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-        self.joined: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        path = []
-        parent = self.parent
-        while (up := parent.get(x, x)) != x:
-            path.append(x)
-            x = up
-        for p in path:
-            parent[p] = x
-        return x
-
-    def link(self, a: int, b: int) -> None:
-        pair = (a, b)
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.joined.append(pair)
-
-
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 

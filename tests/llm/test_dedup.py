@@ -180,3 +180,16 @@ def test_blocks_find_what_brute_force_finds():
             gone = job.covered(block, answers[k])
             for d, a, b in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist(), strict=True):
                 assert (gone[a:b] == want[d]).all(), (trial, d)
+
+
+def test_components_of_a_long_chain_take_few_steps(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(components, "checkpointed", lambda df, rows=None, f=components.checkpointed: calls.append(rows) or f(df, rows))
+    names = list(range(1000))
+    random.Random(5).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(n, 0) for n in names}
+    assert len(calls) <= 6
+    # The same in many small trees.
+    monkeypatch.setattr(components, "LOCAL", 50)
+    assert {tuple(r) for r in components.components(edges).collect()} == {(n, 0) for n in names}
